@@ -14,7 +14,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelattice.session import hadoop_fs
+from notelattice.session import hadoop_fs, replace_file
 
 STATE_SCHEMA = "key string, hash string"
 
@@ -71,10 +71,7 @@ class StateStore:
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps({"version": version, "run": run}).encode()))
         out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-        context.rename(fresh, target, options)
+        replace_file(self.spark, fresh, target)
 
     def run(self, run, current: DataFrame, keep: int | None = 2, before_swap=None) -> DataFrame:
         """Commit one run over a full snapshot (key, hash); returns the keys to process.
