@@ -47,16 +47,16 @@ _FENCE = re.compile(r"^[ ]{0,3}(?P<f>`{3,}|~{3,})(?P<info>[^\n`]*)\n(?P<body>.*?
 _CODE = re.compile(r"(?<!`)(`+)(?!`)((?:(?!\n\s*\n).)+?)(?<!`)\1(?!`)", re.S)
 _MATH = [
     (re.compile(r"\$\$(?!\s*\$)((?:(?!\n\s*\n)[^$])+)\$\$"), "$${}$$"),
-    (re.compile(r"\\\[((?:(?!\n\s*\n).)+?)\\\]", re.S), "$${}$$"),
-    (re.compile(r"\\\(((?:(?!\n\s*\n).)+?)\\\)", re.S), "${}$"),
+    (re.compile(r"\\\[((?:(?!\n\s*\n|\\\[).)+?)\\\]", re.S), "$${}$$"),
+    (re.compile(r"\\\(((?:(?!\n\s*\n|\\\().)+?)\\\)", re.S), "${}$"),
     (re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(.*?)\\end\{\1\}", re.S), "$${}$$"),
     (re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]*?[^\s$\\]|[^\s$\\])\$(?![\d$])"), "${}$"),
 ]
 _VERBATIM = re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted)\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*[ \t]*\n?(.*?)\\end\{\1\}", re.S)
 
-_COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<\?xml[^>]*\?>", re.S | re.I)
-_SCRIPT = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_PRE = re.compile(r"<pre\b[^>]*>(?:\s*<code\b[^>]*>)?(.*?)(?:</code\s*>\s*)?</pre\s*>", re.S | re.I)
+_COMMENT = re.compile(r"<!--(?:(?!<!--).)*?-->|<!DOCTYPE[^>]*>|<\?xml[^>]*\?>", re.S | re.I)
+_SCRIPT = re.compile(r"<(script|style)\b[^>]*>(?:(?!<\1\b).)*?</\1\s*>", re.S | re.I)
+_PRE = re.compile(r"<pre\b[^>]*>(?:\s*<code\b[^>]*>)?((?:(?!<pre\b).)*?)(?:</code\s*>\s*)?</pre\s*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)(" + "|".join(sorted(HTML_NAMES, key=len, reverse=True)) + r")(?:\s[^<>]*|/)?>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]{1,31}));")
 
@@ -75,15 +75,16 @@ _MD_DEFINITION = re.compile(r"^ {0,3}\[([^\[\]^\n]+)\]:[ \t]+\S[^\n]*$", re.M)
 _MD_NOTE_TEXT = re.compile(r"^ {0,3}\[\^([^\]\s]+)\]:[ \t]*", re.M)
 _MD_NOTE = re.compile(r"\[\^[^\]\s]+\]")
 _AUTOLINK = re.compile(r"<((?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>")
-_MD_TABLE = re.compile(r"^[^\n]*\|[^\n]*\n {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$(?:\n[^\n]*\|[^\n]*)*", re.M)
+_MD_TABLE = re.compile(r"^(?=[^\n]*\|)[^\n]++\n {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$(?:\n(?=[^\n]*\|)[^\n]++)*", re.M)
 _MD_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)
-_MD_SETEXT = re.compile(r"^(?![ \t]*(?:[-+*>|#]|\d+[.)]))([^\n]*\S[^\n]*)\n(={3,}|-{3,})[ \t]*$", re.M)
+_MD_SETEXT = re.compile(r"^(?![ \t]*(?:[-+*>|#]|\d+[.)]))(?=[^\n]*\S)([^\n]++)\n(={3,}|-{3,})[ \t]*$", re.M)
 _MD_RULE = re.compile(r"^ {0,3}(?:-{3,}|\*{3,}|_{3,}|(?:\* ){2,}\*|(?:- ){2,}-|(?:_ ){2,}_)[ \t]*$", re.M)
 _MD_QUOTE = re.compile(r"^ {0,3}>[ \t]?(?=\S)", re.M)
 _MD_BULLET = re.compile(r"^([ \t]*)[-+*][ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)", re.M)
 _MD_NUMBER = re.compile(r"^([ \t]*)(\d{1,3})[.)][ \t]+(?=\S)", re.M)
-_MD_STARS = re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])((?:[^*\n]|(?<!\*)\*(?!\*))*?[^\s*])\1(?![\w*])")
-_MD_BARS = re.compile(r"(?<![\w\\])(_{1,3})(?=[^\s_])([^\n]*?[^\s_])\1(?!\w)")
+# Delimiter runs of emphasis, with whether each may open and may close; matched by ``emphasis``.
+_STARS = re.compile(r"(?<![*\\])(?P<open>(?<!\w)(?=\*+[^\s*]))?(?P<run>\*{1,3})(?!\*)(?P<close>(?<=[^\s*]\*)(?!\w)|(?<=[^\s*]\*\*)(?!\w)|(?<=[^\s*]\*\*\*)(?!\w))?")
+_BARS = re.compile(r"(?<![_\\])(?P<open>(?<!\w)(?=_+[^\s_]))?(?P<run>_{1,3})(?!_)(?P<close>(?<=[^\s_]_)(?!\w)|(?<=[^\s_]__)(?!\w)|(?<=[^\s_]___)(?!\w))?")
 _MD_STRIKE = re.compile(r"(?<!~)~~(?=[^\s~])([^\n]+?)(?<=[^\s~])~~(?!~)")
 
 _ARGUMENT = r"\{((?:[^{}]|\{[^{}]*\})*)\}"
@@ -229,11 +230,39 @@ class Reader:
         t = self.replace("markdown", _MD_NOTE_TEXT, t, "", "[^")
         t = self.replace("markdown", _MD_NOTE, t, "", "[^")
         t = self.replace("markdown", _MD_REFERENCE, t, lambda m: m[1], "][")
-        for _ in range(2):
-            t = self.replace("markdown", _MD_STARS, t, lambda m: m[2], "*")
-            t = self.replace("markdown", _MD_BARS, t, lambda m: m[2], "_")
+        t = self.emphasis(t, "*", _STARS)
+        t = self.emphasis(t, "_", _BARS)
         return self.replace("markdown", _MD_STRIKE, t, lambda m: m[1], "~~")
 
+    def emphasis(self, t: str, mark: str, runs: re.Pattern) -> str:
+        """Take matching delimiter runs off: a closing run meets the last open one of its length in its line."""
+        if t.count(mark) < 2:
+            return t
+        lines = t.split("\n")
+        for i, line in enumerate(lines):
+            if line.count(mark) < 2:
+                continue
+            waiting: dict[int, list[tuple[int, int]]] = {1: [], 2: [], 3: []}
+            cut: list[tuple[int, int]] = []
+            for m in runs.finditer(line):
+                span, same = m.span("run"), waiting[len(m["run"])]
+                if m["close"] is not None and same and span[0] > same[-1][1]:
+                    begun = same.pop()
+                    cut += [begun, span]
+                    for other in waiting.values():  # what opened inside stays open no longer
+                        while other and other[-1][0] > begun[0]:
+                            other.pop()
+                elif m["open"] is not None:
+                    same.append(span)
+            if cut:
+                self.kinds.add("markdown")
+                at, kept = 0, []
+                for a, b in sorted(cut):
+                    kept.append(line[at:a])
+                    at = b
+                lines[i] = "".join(kept) + line[at:]
+        return "\n".join(lines)
+
     def tokens(self) -> Iterator[tuple[str, int, int]]:
         """(class, start, end) of words, tags and kept structure, in order."""
         o, c, g = map(re.escape, (self.open, self.close, self.tag))
@@ -247,7 +276,7 @@ class Reader:
             t, n = mark.subn(lambda m: self.kept[int(m[1])], t)
             if not n:
                 break
-        t = re.sub(r"[ \t]+(?=\n)|[ \t]+\Z", "", t)
+        t = re.sub(r"(?<![ \t])[ \t]++(?=\n|\Z)", "", t)
         return re.sub(r"\n{3,}", "\n\n", t).strip("\n")
 
 
