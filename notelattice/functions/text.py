@@ -16,7 +16,7 @@ _WS = r"[\s   -     　﻿]"
 
 def trim(c: Column) -> Column:
     """Strip white space of every kind from both ends."""
-    return F.regexp_replace(c, rf"\A{_WS}+|{_WS}+\z", "")
+    return F.regexp_replace(c, rf"\A{_WS}++|(?<!{_WS}){_WS}++\z", "")
 
 
 def is_noise(word: Column, noise: NoiseWords = DEFAULT) -> Column:
@@ -46,7 +46,7 @@ def estimate_tokens(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Lines trimmed on the right, at most one empty line in a row, trimmed."""
-    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n", "\n"), rf"{_WS[:-1]}&&[^\n]]+(?=\n|\z)", "")
+    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n", "\n"), rf"(?<!{_WS[:-1]}&&[^\n]]){_WS[:-1]}&&[^\n]]++(?=\n|\z)", "")
     return trim(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
 
 
