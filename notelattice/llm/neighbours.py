@@ -31,9 +31,9 @@ from notelattice.session import materialize
 #: Vectors the quantisers are fitted on at most; vectors per cell aimed at; coarse centroids at most.
 SAMPLE, CELL, CELLS = 16_384, 128, 4_096
 #: Sub-vectors of a residual, code words of each, and centroids a vector is filed under at most.
-PARTS, WORDS, PROBES = 32, 64, 3
+PARTS, WORDS, PROBES = 32, 64, 4
 #: Similarity by which a further centroid may be behind the nearest; candidates reranked exactly.
-MARGIN, POOL = 0.04, 48
+MARGIN, POOL = 0.08, 48
 #: Keys of surplus copies that may be broadcast; more are left out by a shuffle join.
 COPIES = 200_000
 
@@ -148,7 +148,7 @@ def fit(vectors: DataFrame, n: int, dim: int, sample: int = SAMPLE, cell: int =
     x = matrix(chosen.toArrow().column(0).combine_chunks(), dim)
     if not len(x):
         x = np.ones((1, dim), np.float32) / np.float32(np.sqrt(dim))
-    return Quantiser(x, int(min(cells, max(1, n // cell), max(1, len(x) // 4))))
+    return Quantiser(x, int(min(cells, max(1, n // cell), max(1, len(x) // 8))))
 
 
 def nearest_neighbours(df: DataFrame, key: str, embedding: str, at: str, dim: int, k: int, probes: int = PROBES, margin: float = MARGIN, pool: int = POOL) -> DataFrame:
