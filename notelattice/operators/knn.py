@@ -45,6 +45,7 @@ def nearest(queries: DataFrame, query_id: str, query_vector: str, rows: DataFram
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kinds = [batch.schema.field(c).type.value_type for c in ("q_k", "r_k")]
             for r in batch.to_pylist():
                 names = np.array(r["r_k"], dtype=object)
                 order = np.argsort(names, kind="stable")
@@ -54,7 +55,7 @@ def nearest(queries: DataFrame, query_id: str, query_vector: str, rows: DataFram
                 value = np.take_along_axis(s, best, axis=1)
                 row = np.repeat(np.arange(len(s)), best.shape[1])
                 ids = [r["q_k"][i] for i in row.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names[best.ravel()].tolist()), pa.array(value.ravel())], names=["q", "k", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(names[best.ravel()].tolist(), kinds[1]), pa.array(value.ravel())], names=["q", "k", "cosine"])
 
     pairs = left.repartition(max(1, min(64, left.sparkSession.sparkContext.defaultParallelism))).crossJoin(right)  # block pairs, not row pairs
     found = pairs.mapInArrow(product, schema)
