@@ -12,6 +12,8 @@ from notelattice.functions.noise import DEFAULT, NoiseWords
 from notelattice.session import materialize
 
 K1, B = 1.5, 0.75
+#: Rows (query, term) that are broadcast at most; more meet the postings by shuffle.
+BROADCAST_TERMS = 200_000
 
 
 @dataclass
@@ -30,10 +32,13 @@ class Bm25Index:
 def build_index(df: DataFrame, key: str, text: str, noise: NoiseWords = DEFAULT) -> Bm25Index:
     """Index rows of a table with one row per key; null texts have no tokens. Tokens are taken once and written."""
     rows = materialize(df.select(F.col(key).alias("chunk_id"), tx.tokenize(F.col(text), noise).alias("tokens")), "tokens")
-    postings = rows.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # laid out by chunk before the explosion: counting then needs no shuffle of single tokens
+    laid = rows.repartition(parts, "chunk_id").select("chunk_id", F.explode("tokens").alias("term"))
+    postings = materialize(laid.groupBy("term", "chunk_id").agg(F.count("*").alias("tf")), "postings")
     lengths = rows.select("chunk_id", F.size("tokens").cast("bigint").alias("len"))
     n = lengths.agg(F.count("*").alias("n"))
-    df_ = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df_ = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df_.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     return Bm25Index(postings, lengths, idf)
 
@@ -44,8 +49,10 @@ def search(queries: DataFrame, query_id: str, query: str, index: Bm25Index, k: i
     A token repeated in a query counts as often. Only postings of query terms are touched.
     """
     terms = queries.select(F.col(query_id).alias("q"), F.explode(tx.tokenize(F.col(query), noise)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
-    weighted = terms.join(index.idf, "term").select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    hits = weighted.join(index.postings, "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.statistics()))  # one row
+    weighted = materialize(terms.join(index.idf, "term").select("q", "term", (F.col("qtf") * F.col("idf")).alias("w")), "weighted")
+    # postings stay where they are while the query terms are few enough to be sent to them
+    few = weighted.count() <= BROADCAST_TERMS
+    hits = index.postings.join(F.broadcast(weighted) if few else weighted, "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.statistics()))  # one row
     gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scores = hits.groupBy("q", "chunk_id").agg(F.round(F.sum(gain), 9).alias("score")).filter("score > 0")
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id")) - 1)
