@@ -8,7 +8,8 @@ from dataclasses import dataclass, fields
 from functools import lru_cache
 
 PREFIX = "NOTELATTICE_"
-ENTITY_TYPES = ("person", "organization", "location", "product", "event", "concept", "technology", "misc")
+# Kinds of named entities that are kept by default.
+ENTITY_TYPES = ("person", "organization", "technology", "concept", "location", "object", "activity", "date_time")
 
 
 class ReadOnlyError(RuntimeError):

@@ -23,7 +23,9 @@ Recogniser = Callable[[list[str]], list[list[tuple[str, str]]]]
 Reranker = Callable[[list[str], list[str]], list[float | None]]
 
 # Entity groups of common recognisers.
-LABELS = {"PER": "person", "ORG": "organization", "LOC": "location", "MISC": "misc"}
+LABELS = {
+    "PER": "person", "PERSON": "person", "ORG": "organization", "ORGANIZATION": "organization", "LOC": "location", "LOCATION": "location", "MISC": "concept",
+}
 
 
 def hashing_embedder(dim: int = 384) -> Embedder:
@@ -70,7 +72,7 @@ def named_entities(df: DataFrame, key: str, text: str, model: Recogniser | None,
             except Exception:  # noqa: BLE001 - a failing model degrades to no entities
                 found = [[] for _ in range(batch.num_rows)]
             for k, entities in zip(batch.column(0).to_pylist(), found):
-                named = [(LABELS.get(label.upper(), label if label in types else "concept"), name.strip()) for label, name in entities]
+                named = [(LABELS.get(label, "concept"), name.strip()) for label, name in entities]
                 for i, (kind, name) in enumerate(dict.fromkeys(n for n in named if n[0] in types and n[1])):
                     rows.append((k, i, kind, name))
             columns = zip(*rows) if rows else [()] * 4
