@@ -92,6 +92,21 @@ dict AS (SELECT acronym, arg_min(expansion, row(-length(expansion), doc)) AS exp
 """
 )
 
+# over the captured texts: the same shapes and choices
+_TEXT_ACRONYMS = (
+    """
+WITH t AS (SELECT 'document:' || doc_id AS doc, text FROM documents WHERE text IS NOT NULL UNION ALL
+  SELECT 'chunk:' || chunk_id, text FROM (SELECT DISTINCT * FROM chunks) WHERE text IS NOT NULL),
+"""
+    + _ACRONYM_TEXTS[_ACRONYM_TEXTS.index("m AS (") :]
+)
+_TEXT_DICTIONARY = (
+    _TEXT_ACRONYMS
+    + """, per AS (SELECT doc, acronym, arg_max(expansion, row(s, i)) AS expansion, min(row(s, i)) AS i FROM a GROUP BY doc, acronym),
+dict AS (SELECT acronym, arg_min(expansion, row(-length(expansion), doc)) AS expansion, row_number() OVER (ORDER BY min(row(doc, i)), acronym) - 1 AS ord FROM per GROUP BY acronym)
+"""
+)
+
 _H = r"(?m)^(#{1,6})[\t\n\f\r ]+([^\r\n]+)\r?$"
 _FM = r"^---\n((?s:.*?))\n---\n((?s:.+))$"
 _BODY = f"CASE WHEN regexp_extract(text, '{_FM}', 1) <> '' THEN regexp_extract(text, '{_FM}', 2) ELSE text END"
@@ -238,3 +253,9 @@ SELECT 'section:' || p.chunk_id AS source_id, 'section:' || k.chunk_id AS target
     + _EDGES
     + "SELECT (SELECT count(*) FROM (SELECT DISTINCT file_path FROM files)) AS files, (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunks, (SELECT count(DISTINCT node) FROM inc WHERE node LIKE 'entity:%') AS entities, (SELECT count(*) FROM e) AS edges",
 }
+
+ORACLES |= {
+    "text_acronyms": _TEXT_ACRONYMS + "SELECT doc, acronym, expansion FROM a",
+    "text_acronym_dict": _TEXT_DICTIONARY + "SELECT acronym, expansion, ord FROM dict",
+    "text_expand_query": _TEXT_DICTIONARY + ORACLES["expand_query"][len(_DICTIONARY) :],
+}

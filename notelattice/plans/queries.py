@@ -11,7 +11,7 @@ from notelattice.functions import text as tx
 from notelattice.operators import bm25, diff, extraction, fusion, graph, knn
 from notelattice.operators import markdown as md
 from notelattice.plans import searching
-from notelattice.session import scratch_path
+from notelattice.session import materialize, scratch_path
 from notelattice.sources.exclude import excluded
 from notelattice.sources.index_store import IndexStore
 
@@ -335,6 +335,31 @@ def expand_query(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.expand_queries(asked, "ord", "q", dictionary)
 
 
+def _captured_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts (doc, text) of all documents and chunks, as captured."""
+    docs = read(spark, folder, "documents").select(F.concat(F.lit("document:"), "doc_id").alias("doc"), "text")
+    return docs.unionByName(chunk_rows(spark, folder).select(F.concat(F.lit("chunk:"), "chunk_id").alias("doc"), "text"))
+
+
+@query
+def text_acronyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Acronyms of the captured texts; ``acronyms`` and its two followers have sentences made of titles."""
+    rows = _captured_texts(spark, folder).select("doc", F.explode(extraction.acronyms(F.col("text"))).alias("x"))
+    return rows.select("doc", "x.acronym", "x.expansion")
+
+
+@query
+def text_acronym_dict(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.acronym_dictionary(_captured_texts(spark, folder), "doc", "text").select("acronym", "expansion", "ord")
+
+
+@query
+def text_expand_query(spark: SparkSession, folder: str) -> DataFrame:
+    dictionary = materialize(extraction.acronym_dictionary(_captured_texts(spark, folder), "doc", "text"), "acronyms")
+    asked = dictionary.select("ord", F.concat(F.lit("about "), F.lower("acronym"), F.lit(" and "), "acronym", F.lit("x or about Zz")).alias("q"))
+    return extraction.expand_queries(asked, "ord", "q", dictionary)
+
+
 # -- graph
 
 
