@@ -114,9 +114,16 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return measured.filter("words > 0 and 10 * repeated >= 3 * words").select("doc_id")
 
 
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, by its language and source, else its language, else all documents."""
+    name = lambda c: F.nullif(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
+    docs = _read(spark, folder, "documents").withColumn("lang", name("lang")).withColumn("source", name("source"))
+    measured = repetition.repetition(docs, ["doc_id", "lang", "source"], "text")
+    return repetition.outliers(measured, "doc_id", ["lang", "source"], broader=[["lang"], []])
+
+
 def p10_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    measured = repetition.repetition(_read(spark, folder, "documents"), ["doc_id", "lang", "source"], "text")
-    return repetition.outliers(measured, "doc_id", ["lang", "source"]).filter("outlier").select("doc_id", "distance")
+    return _judged(spark, folder).filter("outlier").select("doc_id", "distance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,18 +8,20 @@ reached by concentration steps over all documents of the group (each step an agg
 documents beyond a chi-square quantile of the Mahalanobis distance are marked.
 
 Words are maximal runs of Unicode letters and digits of the lower-cased text. Defined results: a
-text without words (null, empty, blank) has the shares 0; a group too small or too flat for an
-estimate marks nothing; null language and source form groups of their own.
+text without words (null, empty, blank) has the shares 0; documents of a group too small for an
+estimate take that of a broader group where the caller names one, else they are not marked; null language
+and source form groups of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,17 +111,9 @@ def _estimates(moments: DataFrame, groups: list[str], d: int, least: int) -> Dat
     return moments.mapInArrow(solve, schema)
 
 
-def outliers(measured: DataFrame, key: str, groups: list[str]) -> DataFrame:
-    """Rows (key, *groups, distance, outlier) of every row of ``measured``.
-
-    Statistics are transformed by log1p(20 x). The scatter of the concentrated part is widened by the
-    ratio of the median squared distance to its chi-square median, the usual consistency step.
-    """
-    names = [f"x{i}" for i in range(len(STATISTICS))]
+def _levels(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Rows (*by, centre, inverse, level) of the groups large enough for an estimate."""
     d = len(names)
-    own = measured.select(F.col(key).alias("k"), *[F.coalesce(F.col(g).cast("string"), F.lit("\0null")).alias(f"g{i}") for i, g in enumerate(groups)], *[F.log1p(F.lit(20.0) * F.col(s)).alias(x) for s, x in zip(STATISTICS, names)])
-    by = [f"g{i}" for i in range(len(groups))]
-    rows = materialize(own, "statistics")
     # start: the documents nearest the coordinate-wise median
     middle = rows.groupBy(*by).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(names)])
     gap = sum((F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(names)), F.lit(0.0))
@@ -128,12 +122,41 @@ def outliers(measured: DataFrame, key: str, groups: list[str]) -> DataFrame:
         cut = far.groupBy(*by).agg(F.percentile_approx("d2", HALF, 1000).alias("cut"))
         kept = far.join(cut, by).filter("d2 <= cut")
         estimates = materialize(_estimates(_moments(kept, by, names), by, d, int(GROUP_LEAST * HALF)), "estimate")  # a row per group
-        offset = [F.col(x) - F.col("centre")[i] for i, x in enumerate(names)]
-        d2 = sum((offset[i] * offset[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
-        far = rows.join(estimates, by, "left").withColumn("d2", d2).select(*rows.columns, "d2")
+        far = rows.join(estimates, by).withColumn("d2", _squared(names)).select(*rows.columns, "d2")
     # median of chi-square with d degrees of freedom, by the Wilson-Hilferty rule
     expected = d * (1 - 2 / (9 * d)) ** 3
     level = far.groupBy(*by).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / expected, F.lit(1.0)).alias("level"))
-    out = far.join(level, by, "left").withColumn("distance", F.sqrt(F.col("d2") / F.col("level")))
+    return estimates.join(level, by)
+
+
+def _squared(names: list[str]) -> Column:
+    """Squared distance of a row from its estimate."""
+    d = len(names)
+    offset = [F.col(x) - F.col("centre")[i] for i, x in enumerate(names)]
+    return sum((offset[i] * offset[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
+
+
+def outliers(measured: DataFrame, key: str, groups: list[str], broader: Sequence[list[str]] = ()) -> DataFrame:
+    """Rows (key, *groups, distance, outlier) of every row of ``measured``.
+
+    Statistics are transformed by log1p(20 x). The scatter of the concentrated part is widened by the
+    ratio of the median squared distance to its chi-square median, the usual consistency step.
+    A document whose group has no estimate takes that of the first of the ``broader`` groupings (parts
+    of ``groups``, ``[]`` for all documents) that has one; these are estimated over all their documents.
+    """
+    names = [f"x{i}" for i in range(len(STATISTICS))]
+    d = len(names)
+    own = measured.select(F.col(key).alias("k"), F.lit("").alias("g"), *[F.coalesce(F.col(g).cast("string"), F.lit("\0null")).alias(f"g{i}") for i, g in enumerate(groups)], *[F.log1p(F.lit(20.0) * F.col(s)).alias(x) for s, x in zip(STATISTICS, names)])
+    by = [f"g{i}" for i in range(len(groups))]
+    rows = materialize(own, "statistics")
+    out, parts = rows, []
+    for level in (groups, *broader):
+        near = ["g", *[f"g{groups.index(g)}" for g in level]]
+        part = materialize(_levels(rows, near, names), "level")  # a row per group
+        judged = out.join(part, near).withColumn("d2", _squared(names)).withColumn("distance", F.sqrt(F.col("d2") / F.col("level")))
+        parts.append(judged.select(*rows.columns, "distance"))
+        out = out.join(part, near, "left_anti").select(*rows.columns)
+    parts.append(out.withColumn("distance", F.lit(None).cast("double")))
+    every = reduce(DataFrame.unionAll, parts)
     outlier = F.coalesce(F.col("distance") > F.lit(CHI_SQUARE_999[d] ** 0.5), F.lit(False))
-    return out.select(F.col("k").alias(key), *[F.when(F.col(b) != "\0null", F.col(b)).alias(g) for b, g in zip(by, groups)], F.round("distance", 6).alias("distance"), outlier.alias("outlier"))
+    return every.select(F.col("k").alias(key), *[F.when(F.col(b) != "\0null", F.col(b)).alias(g) for b, g in zip(by, groups)], F.round("distance", 6).alias("distance"), outlier.alias("outlier"))

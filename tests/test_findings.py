@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from notelattice.llm.queries import _judged
+from notelattice.llm.queries import queries as llm
 from notelattice.plans.queries import QUERIES
 
 
@@ -12,3 +14,14 @@ def test_acronyms_of_captured_texts(spark, tmp_path):
     assert {r.acronym for r in QUERIES["text_acronym_dict"](spark, str(tmp_path)).collect()} == {"QSE", "RRT"}
     expanded = [r.expanded for r in QUERIES["text_expand_query"](spark, str(tmp_path)).collect()]
     assert any("qse The Query Seed Expansion" in e for e in expanded)
+
+
+def test_every_document_is_judged(spark, tmp_path):
+    word = lambda i, j: f"w{(i * 7919 + j * 104729) % 3001}"
+    plain = [(i, " ".join(word(i, j) for j in range(80 + i % 9)) + " w1 w2" * (i % 4), "en", f"s{i % 60}") for i in range(300)]
+    spam = [(1000 + i, "buy this now and again please friends. " * 30, lang, source) for i, (lang, source) in enumerate([("en", "s1"), (" EN", "rare"), ("xx", "rare"), (None, None)])]
+    spark.createDataFrame(plain + spam, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in _judged(spark, str(tmp_path)).collect()}
+    assert len(got) == 304 and all(r.distance is not None for r in got.values())
+    assert {1000, 1001, 1002, 1003} <= {r.doc_id for r in llm()["p10_outliers"](spark, str(tmp_path)).collect()}
+    assert sum(got[i].outlier for i in range(300)) < 60
