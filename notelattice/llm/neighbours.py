@@ -5,7 +5,8 @@ Coarse centroids, and codebooks of the residuals' sub-vectors, are fitted on a b
 nearest centroid and, near a border, under each further centroid at most ``margin`` less similar
 (``probes`` in all). A cell is searched by asymmetric distance: for each vector of the cell a table
 of its products with all code words, summed over the codes of the others; the ``pool`` best are
-reranked by exact cosine in double precision from the vectors in the cell. Results of the cells of a vector are
+reranked by exact cosine in double precision from the vectors in the cell. Where more of the cell than the
+pool lie within the quantisation error of the k-th best, the whole cell is scored exactly, in blocks. Results of the cells of a vector are
 merged into its k best.
 
 Exact copies are searched once: a class of equal embeddings has one representative and its k + 1
@@ -34,6 +35,8 @@ SAMPLE, CELL, CELLS = 16_384, 128, 4_096
 PARTS, WORDS, PROBES = 32, 64, 4
 #: Similarity by which a further centroid may be behind the nearest; candidates reranked exactly.
 MARGIN, POOL = 0.08, 48
+#: Filings of a cell that one task searches at most; of a larger cell, about twice as many.
+CROWD = 8_192
 #: Keys of surplus copies that may be broadcast; more are left out by a shuffle join.
 COPIES = 200_000
 
@@ -128,6 +131,9 @@ class Quantiser:
         exact = x.astype(np.float64)
         exact /= np.linalg.norm(exact, axis=1, keepdims=True)
         n, pool = len(x), min(pool, len(x) - 1)
+        k = min(k, pool)
+        decoded = np.concatenate([book[codes[:, part]] for part, book in enumerate(self.books)], axis=1)
+        left = np.linalg.norm(x - centre - decoded, axis=1)
         for at in range(0, n, block):
             q = x[at : at + block]
             estimate = np.repeat((q @ centre)[:, None], n, axis=1)
@@ -138,7 +144,17 @@ class Quantiser:
             found = np.argpartition(-estimate, pool - 1, axis=1)[:, :pool] if pool < n - 1 else np.argsort(-estimate, axis=1)[:, :pool]
             cosine = np.einsum("qd,qpd->qp", exact[at : at + block], exact[found])
             order = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-            yield at, np.take_along_axis(found, order, axis=1), np.take_along_axis(cosine, order, axis=1)
+            found, cosine = np.take_along_axis(found, order, axis=1), np.take_along_axis(cosine, order, axis=1)
+            # |q.x - estimate| is at most the length of what the codes leave of x, so others below the k-th best are ruled out
+            open_ = np.flatnonzero((estimate + left >= cosine[:, -1:] - 1e-5).sum(axis=1) > pool)
+            if len(open_) and pool < n - 1:
+                every = exact[at + open_] @ exact.T
+                every[np.arange(len(open_)), at + open_] = -np.inf
+                best = np.argpartition(-every, k - 1, axis=1)[:, :k]
+                value = np.take_along_axis(every, best, axis=1)
+                order = np.argsort(-value, axis=1, kind="stable")
+                found[open_], cosine[open_] = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
+            yield at, found, cosine
 
 
 def fit(vectors: DataFrame, n: int, dim: int, sample: int = SAMPLE, cell: int = CELL, cells: int = CELLS) -> Quantiser:
@@ -188,7 +204,13 @@ def nearest_neighbours(df: DataFrame, key: str, embedding: str, at: str, dim: in
         return pa.table({"h": pa.array(a, pa.string()), "o": pa.array(b, pa.string()), "cosine": pa.array(c.astype(np.float64))})
 
     filed = representatives.mapInArrow(assign, "cell int, h string, e array<float>")
-    pairs = filed.groupBy("cell").applyInArrow(search, "h string, o string, cosine double").distinct()
+    # a crowded cell is cut into parts, and each two of them are a task; the cells are counted by filing twice, not by a copy on disk
+    large = filed.groupBy("cell").count().filter(F.col("count") > CROWD).select("cell", F.ceil(F.col("count") / CROWD).cast("int").alias("parts"))
+    mine_ = F.pmod(F.xxhash64("h", F.lit(1)), F.col("parts")).cast("int")
+    two = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != mine_), lambda x: F.concat_ws("-", F.least(x, mine_), F.greatest(x, mine_)))
+    filed = filed.join(F.broadcast(large), "cell", "left")  # at most CELLS rows
+    filed = filed.select("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(""))).otherwise(two)).alias("two"), "h", "e")
+    pairs = filed.groupBy("cell", "two").applyInArrow(search, "h string, o string, cosine double").distinct()
     best = pairs.withColumn("i", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("cosine"), "o"))).filter(F.col("i") <= k)
     named = best.join(classes.select(F.col("h").alias("o"), "keys"), "o").select("h", F.struct("cosine", "keys").alias("s"))
     others = named.groupBy("h").agg(F.collect_list("s").alias("others"))  # at most k entries

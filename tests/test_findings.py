@@ -1,5 +1,9 @@
 from datetime import datetime
 
+import numpy as np
+import pytest
+
+from notelattice.llm import neighbours as nb
 from notelattice.llm.queries import _judged
 from notelattice.llm.queries import queries as llm
 from notelattice.plans.queries import QUERIES
@@ -25,3 +29,24 @@ def test_every_document_is_judged(spark, tmp_path):
     assert len(got) == 304 and all(r.distance is not None for r in got.values())
     assert {1000, 1001, 1002, 1003} <= {r.doc_id for r in llm()["p10_outliers"](spark, str(tmp_path)).collect()}
     assert sum(got[i].outlier for i in range(300)) < 60
+
+
+@pytest.mark.parametrize("crowd", [8192, 700])
+def test_near_copies_keep_their_neighbours(spark, monkeypatch, crowd):
+    monkeypatch.setattr(nb, "CROWD", crowd)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(4500, 32))
+    x[:1500] = x[0] + r.normal(size=(1500, 32)) * 1e-3
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(f"k{i:05d}", v.tolist(), None) for i, v in enumerate(x)], "chunk_id string, embedding array<float>, embedded_at timestamp")
+    got = {}
+    for row in nb.nearest_neighbours(df, "chunk_id", "embedding", "embedded_at", 32, 5).collect():
+        got.setdefault(row.chunk_id, set()).add(row.neighbour)
+    own = x[:1500].astype(np.float64)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    s = own @ own.T
+    np.fill_diagonal(s, -9)
+    best = np.argsort(-s, axis=1)[:, :5]
+    hits = sum(len(got[f"k{i:05d}"] & {f"k{j:05d}" for j in best[i]}) for i in range(1500))
+    print("recall", hits / 7500)
+    assert hits >= 0.999 * 7500
