@@ -259,3 +259,6 @@ ORACLES |= {
     "text_acronym_dict": _TEXT_DICTIONARY + "SELECT acronym, expansion, ord FROM dict",
     "text_expand_query": _TEXT_DICTIONARY + ORACLES["expand_query"][len(_DICTIONARY) :],
 }
+
+# the same neighbourhoods, of every seed
+ORACLES |= {f"seed_{name}": ORACLES[name].replace(" WHERE ord = 0", "") for name in ("neighbors_1hop", "neighbors_2hop")}

@@ -411,6 +411,23 @@ def neighbors_2hop(spark: SparkSession, folder: str) -> DataFrame:
     return _neighbours(spark, folder, 2)
 
 
+def _all_neighbours(spark: SparkSession, folder: str, hops: int) -> DataFrame:
+    seeds = _seeds(spark, folder).select(F.concat(F.lit("section:"), "chunk_id").alias("seed")).distinct()
+    steps = graph.walk(seeds, "seed", _edges(spark, folder), hops)
+    return steps.groupBy("seed", "neighbour", "relation_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query
+def seed_neighbors_1hop(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbourhoods of all ten seeds of a query; ``neighbors_1hop`` has those of the first."""
+    return _all_neighbours(spark, folder, 1)
+
+
+@query
+def seed_neighbors_2hop(spark: SparkSession, folder: str) -> DataFrame:
+    return _all_neighbours(spark, folder, 2)
+
+
 @query
 def graph_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = graph.graph_search(_seeds(spark, folder), _edges(spark, folder))

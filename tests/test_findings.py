@@ -50,3 +50,13 @@ def test_near_copies_keep_their_neighbours(spark, monkeypatch, crowd):
     hits = sum(len(got[f"k{i:05d}"] & {f"k{j:05d}" for j in best[i]}) for i in range(1500))
     print("recall", hits / 7500)
     assert hits >= 0.999 * 7500
+
+
+def test_neighbours_of_every_seed(spark, tmp_path):
+    scores = [(20, f"c{i}", 1.0 - i / 20, None, None) for i in range(12)]
+    spark.createDataFrame(scores, "query_id bigint, chunk_id string, semantic_score double, bm25_score double, graph_score double").write.parquet(f"{tmp_path}/search_results.parquet")
+    edges = [(i, f"section:c{i}", f"tag:t{i}", "HAS_TAG", 1.0) for i in range(12)]
+    spark.createDataFrame(edges, "edge_id bigint, source_id string, target_id string, relation_type string, weight double").write.parquet(f"{tmp_path}/edges.parquet")
+    for hops in (1, 2):
+        rows = QUERIES[f"seed_neighbors_{hops}hop"](spark, str(tmp_path)).collect()
+        assert {r.seed for r in rows} == {f"section:c{i}" for i in range(10)}
