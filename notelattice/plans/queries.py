@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelattice.functions import text as tx
@@ -495,6 +495,35 @@ def removed_paths(spark: SparkSession, folder: str) -> DataFrame:
     return diff.paths_to_remove(diff.file_diff(_scan(spark, folder, 3), _scan(spark, folder, 1)))
 
 
+def _scan_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots (scan_id, file_path, checksum) of all scans but the first, and of the scan before each."""
+    rows = read(spark, folder, "files").filter("scan_id is not null and file_path is not null")
+    best = rows.groupBy("scan_id", "file_path").agg(F.max(F.struct("last_modified", F.lower("checksum").alias("c"))).alias("s"))
+    snapshots = best.select("scan_id", "file_path", F.col("s.c").alias("checksum"))
+    near = Window.orderBy("scan_id")  # a row per scan
+    scans = rows.select("scan_id").distinct().select("scan_id", F.lag("scan_id").over(near).alias("before"))
+    pairs = F.broadcast(scans.filter("before is not null"))
+    current = snapshots.join(pairs.select("scan_id"), "scan_id")
+    before = snapshots.withColumnRenamed("scan_id", "before").join(pairs, "before").drop("before")
+    return current.select("scan_id", "file_path", "checksum"), before.select("scan_id", "file_path", "checksum")
+
+
+@query
+def scan_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scan against the one before; ``file_diff`` and its two followers read one pair of scans."""
+    return diff.file_diff(*_scan_pairs(spark, folder), ["scan_id"])
+
+
+@query
+def scan_moves(spark: SparkSession, folder: str) -> DataFrame:
+    return diff.moves(*_scan_pairs(spark, folder), ["scan_id"])
+
+
+@query
+def scan_removed(spark: SparkSession, folder: str) -> DataFrame:
+    return diff.paths_to_remove(diff.file_diff(*_scan_pairs(spark, folder), ["scan_id"]), ["scan_id"])
+
+
 @query
 def index_stats(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda df, name: df.agg(F.count("*").alias(name))

@@ -60,3 +60,13 @@ def test_neighbours_of_every_seed(spark, tmp_path):
     for hops in (1, 2):
         rows = QUERIES[f"seed_neighbors_{hops}hop"](spark, str(tmp_path)).collect()
         assert {r.seed for r in rows} == {f"section:c{i}" for i in range(10)}
+
+
+def test_every_pair_of_scans(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [(1, "a", at, "1"), (2, "a", at, "2"), (2, "b", at, "3"), (7, "c", at, "3"), (7, "a", at, "2")]
+    spark.createDataFrame(rows, "scan_id int, file_path string, last_modified timestamp, checksum string").write.parquet(f"{tmp_path}/files.parquet")
+    got = lambda name: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got("scan_diff") == [(2, "a", "changed"), (2, "b", "new"), (7, "a", "unchanged"), (7, "b", "moved"), (7, "c", "new")]
+    assert got("scan_moves") == [(7, "b", "c")]
+    assert got("scan_removed") == [(2, "a"), (7, "b")]
