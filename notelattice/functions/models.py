@@ -55,10 +55,23 @@ def embed(text: Column, model: Embedder) -> Column:
     return run(text)
 
 
+def _each(model: Callable[..., list], *columns: list, missing: object) -> list:
+    """Results of a batch; where the model fails at it, item by item, ``missing`` for those that fail."""
+    try:
+        found = list(model(*columns))
+        if len(found) == len(columns[0]):
+            return found
+    except Exception:  # noqa: BLE001 - only the failing items are lost
+        pass
+    if len(columns[0]) == 1:
+        return [missing]
+    return [x for item in zip(*columns) for x in _each(model, *[[c] for c in item], missing=missing)]
+
+
 def named_entities(df: DataFrame, key: str, text: str, model: Recogniser | None, types: tuple[str, ...]) -> DataFrame:
     """Rows (key, ord, type, name), distinct per key; labels are mapped, unknown ones are ``concept``.
 
-    Without a model, and for batches at which it fails, there are no entities.
+    Without a model, and for texts at which it fails, there are no entities.
     """
     schema = T.StructType([df.schema[key], T.StructField("ord", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("name", T.StringType())])
     if model is None:
@@ -67,10 +80,7 @@ def named_entities(df: DataFrame, key: str, text: str, model: Recogniser | None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            try:
-                found = model([t or "" for t in batch.column(1).to_pylist()])
-            except Exception:  # noqa: BLE001 - a failing model degrades to no entities
-                found = [[] for _ in range(batch.num_rows)]
+            found = _each(model, [t or "" for t in batch.column(1).to_pylist()], missing=[])
             for k, entities in zip(batch.column(0).to_pylist(), found):
                 named = [(LABELS.get(label, "concept"), name.strip()) for label, name in entities]
                 for i, (kind, name) in enumerate(dict.fromkeys(n for n in named if n[0] in types and n[1])):
@@ -86,9 +96,6 @@ def rerank_scores(query: Column, text: Column, model: Reranker) -> Column:
 
     @F.pandas_udf("double")
     def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(model(list(queries), [(t or "")[:512] for t in texts]), dtype="float64")
-        except Exception:  # noqa: BLE001 - failed pairs have no score
-            return pd.Series([None] * len(queries), dtype="float64")
+        return pd.Series(_each(model, list(queries), [(t or "")[:512] for t in texts], missing=None), dtype="float64")
 
     return run(query, text)

@@ -2,7 +2,9 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from notelattice.functions import models
 from notelattice.llm import neighbours as nb
 from notelattice.llm.queries import _judged
 from notelattice.llm.queries import queries as llm
@@ -70,3 +72,22 @@ def test_every_pair_of_scans(spark, tmp_path):
     assert got("scan_diff") == [(2, "a", "changed"), (2, "b", "new"), (7, "a", "unchanged"), (7, "b", "moved"), (7, "c", "new")]
     assert got("scan_moves") == [(7, "b", "c")]
     assert got("scan_removed") == [(2, "a"), (7, "b")]
+
+
+def test_a_failing_text_loses_only_itself(spark):
+    def people(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [[("PER", t)] for t in texts]
+
+    df = spark.createDataFrame([("a", "Ann"), ("b", "bad"), ("c", "Cy")], "k string, t string").coalesce(1)
+    got = models.named_entities(df, "k", "t", people, ("person",)).collect()
+    assert sorted((r.k, r.name) for r in got) == [("a", "Ann"), ("c", "Cy")]
+
+    def score(queries, texts):
+        if "bad" in texts:
+            raise ValueError
+        return [1.0] * len(texts)
+
+    rows = df.select("k", models.rerank_scores(F.lit("q"), F.col("t"), score).alias("s")).collect()
+    assert {r.k: r.s for r in rows} == {"a": 1.0, "b": None, "c": 1.0}
