@@ -92,7 +92,6 @@ _LATEX_HEADING = re.compile(r"\\(part|chapter|section|subsection|subsubsection|p
 _LATEX_DROP = re.compile(r"[ \t]?\\(?:label|ref|eqref|cite[pt]?|pageref|index|vspace|hspace|usepackage|documentclass)\*?(?:\[[^\]\n]*\])*" + _ARGUMENT)
 _LATEX_TABULAR = re.compile(r"\\begin\{(tabular\*?|array)\}(?:\[[^\]\n]*\]|" + _ARGUMENT + r")*(.*?)\\end\{\1\}", re.S)
 _LATEX_ENV = re.compile(r"\\(?:begin|end)\{[^}\n]*\}(?:\[[^\]\n]*\])?[ \t]*\n?")
-_LATEX_COMMAND = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*" + _ARGUMENT)
 _LATEX_OPEN = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*\{")
 _LATEX_BARE = re.compile(r"(?<![\w:\\/.~])\\(" + "|".join(BARE_COMMANDS) + r")(?![A-Za-z\\])[ \t]*")
 
@@ -187,12 +186,16 @@ class Reader:
 
         t = self.replace("wiki", _WIKI_TABLE, t, table, "{|")
         t = self.replace("wiki", _WIKI_HEADING, t, lambda m: self.keep(None, "#" * len(m[1]) + " ") + m[2].strip(), "==")
-        for _ in range(4):  # innermost first
+        before = None
+        while t != before:  # innermost first; each round makes the text shorter
+            before = t
             t = self.replace("wiki", _WIKI_LINK, t, link, "[[")
             t = self.replace("wiki", _TEMPLATE, t, "", "{{")
         t = self.replace("wiki", _WIKI_URL, t, lambda m: m[1], "[")
         t = self.replace("wiki", _SWITCH, t, "", "__")
-        for _ in range(2):
+        before = None
+        while t != before:
+            before = t
             t = self.replace("wiki", _WIKI_QUOTES, t, lambda m: m[2], "''")
         return t
 
@@ -206,11 +209,31 @@ class Reader:
         t = self.replace("latex", _LATEX_DROP, t, "")
         t = self.replace("latex", _LATEX_ENV, t, "")
         t = self.replace("latex", re.compile(r"\\footnote" + _ARGUMENT), t, lambda m: f" ({m[1].strip()})")
-        for _ in range(4):
-            t = self.replace("latex", _LATEX_COMMAND, t, lambda m: m[1])
+        before = None
+        while t != before:  # taking a command off may join another to its argument
+            before = t
+            t = self.unwrap(t)
         t = self.replace("latex", _LATEX_OPEN, t, "")  # cut off before its end
         return self.replace("latex", _LATEX_BARE, t, lambda m: self.keep(None, "- ") if m[1] == "item" else "")
 
+    def unwrap(self, t: str) -> str:
+        """Take commands off their arguments, at any depth, by one scan over the braces."""
+        pairs, waiting = {}, []
+        for m in re.finditer(r"[{}]", t):
+            if m[0] == "{":
+                waiting.append(m.start())
+            elif waiting:
+                pairs[waiting.pop()] = m.start()
+        heads = [m.span() for m in _LATEX_OPEN.finditer(t) if m.end() - 1 in pairs]
+        if not heads:
+            return t
+        self.kinds.add("latex")
+        out, at = [], 0
+        for a, b in sorted(heads + [(pairs[b - 1], pairs[b - 1] + 1) for _, b in heads]):
+            out.append(t[at:a])
+            at = max(at, b)
+        return "".join(out) + t[at:]
+
     def markdown(self, t: str) -> str:
         def table(m: re.Match) -> str:
             rows = [line.strip().strip("|").strip() for i, line in enumerate(m[0].split("\n")) if i != 1]

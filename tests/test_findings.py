@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from notelattice.functions import models
 from notelattice.llm import neighbours as nb
+from notelattice.llm.markup import Reader
 from notelattice.llm.queries import _judged
 from notelattice.llm.queries import queries as llm
 from notelattice.plans.queries import QUERIES
@@ -91,3 +92,11 @@ def test_a_failing_text_loses_only_itself(spark):
 
     rows = df.select("k", models.rerank_scores(F.lit("q"), F.col("t"), score).alias("s")).collect()
     assert {r.k: r.s for r in rows} == {"a": 1.0, "b": None, "c": 1.0}
+
+
+def test_markup_of_any_depth():
+    depth = 9
+    wiki = Reader("a " + "{{x|" * depth + "y" + "}}" * depth + " b")
+    assert "{" not in wiki.text and "}" not in wiki.text and "wiki" in wiki.kinds
+    latex = Reader("a " + "\\emph{\\textbf{" * depth + "word" + "}}" * depth + " b")
+    assert latex.text.split() == ["a", "word", "b"] and "latex" in latex.kinds
