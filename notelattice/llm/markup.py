@@ -2,9 +2,15 @@
 
 A text is read in three steps. The lexer sets Markdown code and formulas aside, finds the constructs
 of each kind and turns them into plain text, headings (``#``), list items (``-``), fenced code and
-``$`` formulas. The sequence of words and HTML tags it leaves is scored, words positive and tags
+``$`` formulas. The words and HTML tags it leaves are scored, words positive and tags of page furniture
 negative, by log odds fitted on labelled pages, and one linear scan finds the contiguous region of the highest
-total: navigation and other tag-laden rims fall outside it. What stays is that region.
+total: menus and other rims fall outside it. What stays is that region.
+
+Scores are summed by block (between block tags or empty lines), and a region begins and ends at
+blocks. Inline and structure tags (``b``, ``li``, ``td``, ...) have no weight. A link counts against
+its block only where the block has no other words, and leaving a rim out costs what keeps all
+labelled content whole. So a text with words outside of links in its first and last block and without furniture keeps every
+word; where nothing scores above zero, such as in a text of links alone, all is kept.
 
 The kinds of markup in a text come from the lexer, over the whole text: the region alone could not
 tell them, since constructs outside it count as well.
@@ -19,12 +25,16 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .labelled import pages as labelled_pages
+
 KINDS = ("html", "latex", "markdown", "wiki")
 
 # Element names of the HTML standard and common older ones.
@@ -97,12 +107,20 @@ _LATEX_BARE = re.compile(r"(?<![\w:\\/.~])\\(" + "|".join(BARE_COMMANDS) + r")(?
 
 _LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 _BLOCK = {"p", "div", "br", "tr", "ul", "ol", "table", "section", "article", "blockquote", "details", "summary", "dl", "dt", "dd", "hr"}
+#: Where a block of the region scan begins (opening tag) or ends (closing tag).
+_BORDER = _BLOCK | set("li td th h1 h2 h3 h4 h5 h6 pre figure figcaption nav header footer aside main form menu fieldset body html head select option script".split())
+#: Tags that say nothing of furniture: text-level tags and those of the structure of content.
+_NEUTRAL = frozenset(
+    "abbr acronym address article b bdi bdo big blockquote body br caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure "
+    "font h1 h2 h3 h4 h5 h6 hr html i ins kbd li main mark ol p pre q rp rt ruby s samp section small span strike strong sub summary sup table tbody td tfoot th thead "
+    "time title tr tt u ul var wbr".split()
+)
 
 
 class Reader:
     """Lexer of one text: ``kinds`` found, and the text with constructs turned into plain structure.
 
-    HTML tags that leave no structure become a mark, so that the region scan can see them.
+    HTML tags become a mark with the number of their name, so that the region scan can see them.
     """
 
     def __init__(self, text: str) -> None:
@@ -113,6 +131,9 @@ class Reader:
         self.open, self.close, self.tag = next(free), next(free), next(free)
         self.text = self.read(text.replace("\r\n", "\n").replace("\r", "\n"))
 
+    def mark(self, name: str, closing: bool = False) -> str:
+        return f"{self.tag}{2 * HTML_NAMES.index(name) + closing}{self.tag}"
+
     def keep(self, kind: str | None, content: str) -> str:
         """Set content aside; nothing further is found in it."""
         if kind:
@@ -148,20 +169,21 @@ class Reader:
         return self.markdown(t)
 
     def html(self, t: str) -> str:
-        t = self.replace("html", _COMMENT, t, self.tag)
-        t = self.replace("html", _SCRIPT, t, self.tag)
+        t = self.replace("html", _COMMENT, t, "")
+        t = self.replace("html", _SCRIPT, t, lambda m: self.mark(m[1].lower()))
         t = _PRE.sub(lambda m: "\n" + self.keep("html", f"```\n{html.unescape(_TAG.sub('', m[1])).strip(chr(10))}\n```") + "\n", t)
         t = self.replace("markdown", _AUTOLINK, t, lambda m: self.keep(None, m[1]))
 
         def tag(m: re.Match) -> str:
             closing, name = m[1], m[2].lower()
+            mark = self.mark(name, bool(closing))
             if name[0] == "h" and name[1:].isdigit():
-                return "\n" if closing else "\n" + self.keep(None, "#" * int(name[1]) + " ")
+                return mark + "\n" if closing else "\n" + mark + self.keep(None, "#" * int(name[1]) + " ")
             if name == "li":
-                return self.tag if closing else "\n" + self.keep(None, "- ") + self.tag
+                return mark if closing else "\n" + mark + self.keep(None, "- ")
             if name in ("td", "th"):
-                return self.keep(None, " | ") if closing else self.tag
-            return self.tag + "\n" if name in _BLOCK else self.tag
+                return self.keep(None, " | ") + mark if closing else mark
+            return mark + "\n" if name in _BLOCK else mark
 
         t = self.replace("html", _TAG, t, tag)
 
@@ -286,80 +308,146 @@ class Reader:
                 lines[i] = "".join(kept) + line[at:]
         return "\n".join(lines)
 
-    def tokens(self) -> Iterator[tuple[str, int, int]]:
-        """(class, start, end) of words, tags and kept structure, in order."""
+    def blocks(self) -> list[tuple[list[str], int, int]]:
+        """(token classes, start, end) of each block, in order.
+
+        Classes: ``word``, ``kept`` structure, tag names, and for what stands in links of a block without other
+        words ``menu`` (words) and ``a.menu`` (tags); ``a`` and ``link`` elsewhere.
+        """
         o, c, g = map(re.escape, (self.open, self.close, self.tag))
-        for m in re.finditer(f"{o}(\\d+){c}|({g})|[^\\s{o}{c}{g}]+", self.text):
-            yield ("kept" if m[1] else "tag" if m[2] else "word"), m.start(), m.end()
+        out: list[tuple[list[str], int, int]] = []
+        own: list[str] = []
+        begin = end = 0
+        linked = False
+
+        def close() -> None:
+            nonlocal own
+            if own:
+                alone = "word" not in own
+                turned = {"a": "a.menu", "link": "menu"} if alone else {}
+                out.append(([turned.get(x, x) for x in own], begin, end))
+            own = []
+
+        for m in re.finditer(f"{o}\\d+{c}|{g}(\\d+){g}|[^\\s{o}{c}{g}]+|\n\\s*\n", self.text):
+            number = m[1]
+            if number is None and m[0][0] == "\n":
+                close()
+                continue
+            name, closing = (HTML_NAMES[int(number) // 2], int(number) % 2) if number else ("", 0)
+            if name in _BORDER and not closing:
+                close()
+            if not own:
+                begin = m.start()
+            if name:
+                linked = not closing if name == "a" else linked
+                own.append(name)
+            elif m[0][0] == self.open:
+                own.append("kept")
+            elif any(x.isalnum() for x in m[0]):
+                own.append("link" if linked else "word")
+            end = m.end()
+            if name in _BORDER and (closing or name in ("br", "hr", "script")):
+                linked = linked and name == "br"
+                close()
+        close()
+        return out
 
     def finish(self, region: tuple[int, int]) -> str:
-        t = self.text[region[0] : region[1]].replace(self.tag, "")
+        t = re.sub(f"{re.escape(self.tag)}\\d+{re.escape(self.tag)}", "", self.text[region[0] : region[1]])
         mark = re.compile(f"{re.escape(self.open)}(\\d+){re.escape(self.close)}")
-        for _ in range(9):  # what is set aside may hold what was set aside before
+        n = 1
+        while n:  # what is set aside may hold what was set aside before it
             t, n = mark.subn(lambda m: self.kept[int(m[1])], t)
-            if not n:
-                break
         t = re.sub(r"(?<![ \t])[ \t]++(?=\n|\Z)", "", t)
         return re.sub(r"\n{3,}", "\n\n", t).strip("\n")
 
 
-def best_region(scores: list[float]) -> tuple[int, int]:
-    """Bounds of the contiguous run of the highest sum, the longest of equals, by one linear scan."""
-    best, run, start, where = -math.inf, 0.0, 0, (0, len(scores))
+def best_region(scores: list[float], cost: float = 0.0) -> tuple[int, int]:
+    """Bounds of the contiguous run of the highest sum, the longest of equals, by one linear scan.
+
+    Each end that leaves something out costs ``cost``. Where no run scores above zero all is kept.
+    """
+    best, run, start, where = 0.0, 0.0, 0, (0, len(scores))
     for i, s in enumerate(scores):
-        if run < 0:
-            run, start = 0.0, i
+        if i and run < -cost:
+            run, start = -cost, i
         run += s
-        if run >= best:
-            best, where = run, (start, i + 1)
+        total = run - (cost if i + 1 < len(scores) else 0.0)
+        if total > best or (total == best and total > 0):
+            best, where = total, (start, i + 1)
     return where
 
 
-# Labelled pages: «» encloses the content.
-LABELLED_PAGES = [
-    "<html><head><title>x</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>Notes</a></li></ul></nav>"
-    "<div>«<h1>Chunk sizes</h1><p>A chunk of five hundred tokens keeps a heading and the text below it together, so a reader finds both.</p>"
-    "<p>Longer sections are cut at <b>sentences</b>, with a small overlap.</p>»</div><footer><a href='/i'>Imprint</a><a href='/p'>Privacy</a></footer></body></html>",
-    "<div id='menu'><a href='a'>Start</a><span>|</span><a href='b'>Tags</a><span>|</span><a href='c'>About</a></div>"
-    "«<p>The ranker reads three scores for each candidate and trusts none of them alone. An outlier of one engine moves nothing.</p>"
-    "<ul><li>ranks are kept for every engine</li><li>ties go to the smaller key</li></ul>»<div><img src='x'><br><a href='d'>Share</a><a href='e'>Print</a></div>",
-    "«Plain notes have no markup at all. They start with a sentence and they end with one, and all of it is content.»",
-    "<table><tr><td><a href='1'>1</a></td><td><a href='2'>2</a></td><td><a href='3'>3</a></td></tr></table>«<h2>Failures</h2> When a run fails, the next "
-    "one starts from the last stored state and reads what changed since then. <em>Nothing</em> is skipped and nothing is read twice.»<script>var a = 1;</script><p></p>",
-]
+@dataclass(frozen=True)
+class Weights:
+    """Weight of each token class (others have none), and the cost of leaving a rim out."""
+
+    classes: dict[str, float]
+    cost: float
 
+    def score(self, own: list[str]) -> float:
+        return sum(self.classes.get(x, 0.0) for x in own)
 
-def fit_weights(pages: list[str]) -> dict[str, float]:
-    """Log odds of each token class inside against outside the labelled content, add-one smoothed."""
-    inside, outside = {"word": 1, "tag": 1}, {"word": 1, "tag": 1}
-    for page in pages:
-        before, rest = page.split("«")
-        content, after = rest.split("»")
-        for part, counts in ((before, outside), (content, inside), (after, outside)):
-            for kind, _, _ in Reader(part).tokens():
-                if kind in counts:
-                    counts[kind] += 1
-    total = sum(inside.values()), sum(outside.values())
-    weights = {k: math.log(inside[k] / total[0]) - math.log(outside[k] / total[1]) for k in inside}
-    return {"word": max(weights["word"], 0.01), "tag": min(weights["tag"], -0.01), "kept": max(weights["word"], 0.01)}
 
+def _labelled(page: str) -> list[tuple[list[str], int]]:
+    """(token classes, share of label) of the blocks of a page: 1 inside, 0 outside its marks."""
+    before, rest = page.split("«")
+    content, after = rest.split("»")
+    return [(own, label) for part, label in ((before, 0), (content, 1), (after, 0)) for own, _, _ in Reader(part).blocks()]
 
-def clean(text: str, weights: dict[str, float]) -> tuple[str, list[str], int]:
-    """(clean text, kinds found, tokens left out at the rims)."""
+
+def fit_weights(pages: list[str]) -> Weights:
+    """Log odds of each token class inside against outside the labelled content, add-one smoothed.
+
+    Words can't count against a block, tags can't count for it, neutral tags have no weight. The
+    cost of a cut is the least power of two at which no word of labelled content is lost.
+    """
+    parts = [_labelled(p) for p in pages]
+    counts: dict[str, list[int]] = {}
+    for page in parts:
+        for own, label in page:
+            for x in own:
+                counts.setdefault(x, [1, 1])[label] += 1
+    total = [sum(c[label] for c in counts.values()) or 1 for label in (0, 1)]
+    odds = {x: math.log(c[1] / total[1]) - math.log(c[0] / total[0]) for x, c in counts.items()}
+    classes = {x: max(v, 0.01) if x in ("word", "kept") else min(v, 0.0) for x, v in odds.items() if x not in _NEUTRAL}
+    cost = 0.5
+    while cost < 1 << 20:
+        weights = Weights(classes, cost)
+        if not any(_lost(page, weights) for page in parts):
+            break
+        cost *= 2
+    return weights
+
+
+def _lost(page: list[tuple[list[str], int]], weights: Weights) -> int:
+    """Content words that a cut of the page leaves out."""
+    a, b = best_region([weights.score(own) for own, _ in page], weights.cost)
+    return sum(x in ("word", "link", "menu") for i, (own, label) in enumerate(page) if label and not a <= i < b for x in own)
+
+
+@lru_cache(maxsize=1)
+def default_weights() -> Weights:
+    """Weights of the generated labelled pages."""
+    return fit_weights(labelled_pages())
+
+
+def clean(text: str, weights: Weights) -> tuple[str, list[str], int]:
+    """(clean text, kinds found, words and tags left out at the rims)."""
     reader = Reader(text)
     if not reader.kinds:
         return text, [], 0
-    tokens = list(reader.tokens())
-    if not any(kind == "tag" for kind, _, _ in tokens):
+    if reader.tag not in reader.text:
         return reader.finish((0, len(reader.text))), sorted(reader.kinds), 0
-    a, b = best_region([weights[kind] for kind, _, _ in tokens])
-    region = (0 if a == 0 else tokens[a][1], len(reader.text) if b == len(tokens) else tokens[b - 1][2])
-    return reader.finish(region), sorted(reader.kinds), len(tokens) - (b - a)
+    blocks = reader.blocks()
+    a, b = best_region([weights.score(own) for own, _, _ in blocks], weights.cost)
+    region = (0 if a == 0 else blocks[a][1], len(reader.text) if b == len(blocks) else blocks[b - 1][2])
+    return reader.finish(region), sorted(reader.kinds), sum(len(own) for i, (own, _, _) in enumerate(blocks) if not a <= i < b)
 
 
 def clean_markup(df: DataFrame, key: str, text: str, pages: list[str] | None = None) -> DataFrame:
     """Rows (key, text, kinds, outside), one for each row; no shuffle."""
-    weights = fit_weights(pages or LABELLED_PAGES)
+    weights = fit_weights(pages) if pages else default_weights()
     schema = T.StructType(
         [df.schema[key], T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType(), False)), T.StructField("outside", T.IntegerType())]
     )

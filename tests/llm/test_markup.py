@@ -1,8 +1,9 @@
 import pytest
 
 from notelattice.llm import markup as mk
+from notelattice.llm.labelled import pages
 
-WEIGHTS = mk.fit_weights(mk.LABELLED_PAGES)
+WEIGHTS = mk.default_weights()
 PLAIN = [
     "The C# sentence and the F# snippet share issue #12. Tag it #review and #graph-walk.",
     "Failures and retries > Embedding drift > Notes",
@@ -54,14 +55,63 @@ def test_region_leaves_navigation_out():
     assert "The text itself" in out and "Home" not in out and "Share" not in out and outside > 5
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("<ul><li>alpha</li><li>beta</li></ul>", "- alpha\n- beta"),
+        ("Use <b>one</b>.<br><br><br>Then two.", "Use one.\n\nThen two."),
+        ("<b>A</b> <i>B</i> and <u>C</u> then plain words here", "A B and C then plain words here"),
+        ("A <b>early</b> writer", "A early writer"),
+        ("See <a href='x'>A b</a>.", "See A b."),
+        ("<a href='x'>A</a>", "A"),
+        ("<table><tr><th>head</th><td>cell</td></tr></table>\n\nwords", "head |  cell |\n\nwords"),
+    ],
+)
+def test_without_a_rim_every_word_stays(text, want):
+    out, _, outside = mk.clean(text, WEIGHTS)
+    assert outside == 0 and out.split() == want.split()
+
+
 def test_best_region():
     assert mk.best_region([-1, 2, -1, 3, -5, 1]) == (1, 4)
     assert mk.best_region([1.0, 1.0]) == (0, 2)
     assert mk.best_region([]) == (0, 0)
+    assert mk.best_region([-1, 2, -1], cost=2) == (0, 3)
+    assert mk.best_region([-9, 5, -1, 5, -9], cost=2) == (1, 4)
+
+
+def test_held_out_pages():
+    """Precision and recall of the words of held-out labelled pages; the printed figures are those of the README."""
+    kept = lost = left = gone = 0
+    for page in pages(600, seed=99):
+        parts = mk._labelled(page)
+        a, b = mk.best_region([WEIGHTS.score(own) for own, _ in parts], WEIGHTS.cost)
+        for i, (own, label) in enumerate(parts):
+            n = sum(x in ("word", "link", "menu") for x in own)
+            inside = a <= i < b
+            kept, lost, left, gone = kept + n * (label and inside), lost + n * (label and not inside), left + n * (not label and inside), gone + n * (not label and not inside)
+    print("content kept", kept, "lost", lost, "rim left", left, "removed", gone)
+    assert lost <= 0.001 * (kept + lost) and gone >= 0.97 * (gone + left)
+
+
+def test_pages_written_by_hand():
+    pages_ = [
+        "<html><head><title>x</title></head><body><header><nav><a href='/'>Start</a> | <a href='/n'>Notes</a> | <a href='/w'>Who</a></nav></header><main>«<h1>Chunk sizes</h1><p>A chunk of five hundred tokens keeps a heading.</p>"
+        "<p>Longer sections are cut at <b>sentences</b>.</p>»</main><footer><a href='/i'>Imprint</a><a href='/p'>Privacy</a></footer></body></html>",
+        "<div id='m'><a href='a'>Start</a><span>|</span><a href='b'>Tags</a><span>|</span><a href='c'>More</a></div>«<p>The ranker reads three scores for each of them.</p><ul><li>ranks are kept</li><li>ties go to the smaller key</li></ul>»"
+        "<div><img src='x'><a href='d'>Share</a><a href='e'>Print</a><a href='e'>Mail</a></div>",
+        "«One <i>short</i> line, <a href='x'>with a link</a>»",
+    ]
+    for page in pages_:
+        parts = mk._labelled(page)
+        assert mk._lost(parts, WEIGHTS) == 0
+        a, b = mk.best_region([WEIGHTS.score(own) for own, _ in parts], WEIGHTS.cost)
+        words = [sum(x in ("word", "link", "menu") for x in own) * (a <= i < b) for i, (own, label) in enumerate(parts) if not label]
+        assert sum(words) <= 1
 
 
 def test_weights_follow_the_labels():
-    assert WEIGHTS["word"] > 0 > WEIGHTS["tag"]
+    assert WEIGHTS.classes["word"] > 0 > WEIGHTS.classes["a.menu"] and WEIGHTS.classes["nav"] < 0 and "li" not in WEIGHTS.classes
 
 
 def test_dirty_rows(spark):
