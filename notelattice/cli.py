@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from notelattice.config import get_settings, load_env
 from notelattice.plans.indexing import index_directory
 from notelattice.plans.searching import MODES, SEEDS, format_results, search
+from notelattice.session import scratch_scope
 from notelattice.sources.index_store import IndexStore
 
 
@@ -42,9 +43,10 @@ def main(argv: list[str] | None = None) -> int:
         print(index_directory(spark, store, args.directory, args.exclude, args.rebuild, args.extract_depth))
     elif args.command == "search":
         queries = spark.createDataFrame([(0, args.query)], "query_id int, query string")
-        found = search(store, queries, args.mode, args.top, not args.no_rerank, not args.no_expand, args.graph_seed)
-        for row in format_results(found).orderBy("place").collect():  # at most --top rows
-            print(row["line"])
+        with scratch_scope():
+            found = search(store, queries, args.mode, args.top, not args.no_rerank, not args.no_expand, args.graph_seed)
+            for row in format_results(found).orderBy("place").collect():  # at most --top rows
+                print(row["line"])
     elif args.command == "status":
         print(store.statistics().first().asDict())
     else:

@@ -1,103 +1,118 @@
 """Processing only new or changed records.
 
-The state is a table of (key, content hash) under versioned folders, and a pointer file names the
-version that counts. A run hashes its current rows, joins them with the state, writes what is new or changed
-and the next version, and then renames a new pointer over the old one: the one atomic step. A run
-that dies before it has changed nothing that counts, so the next run finds the same records again; a run that is
-repeated after it returns what it committed. Nothing is skipped and nothing is processed twice.
+The state is a table of (key, content hash) in a folder per version, and a log names the
+version that counts. A run hashes its current rows, joins them with the state and writes what is new or changed
+together with the next version (``begin``); the work is done on these keys; then one atomic step makes the version count
+(``commit``). A run that dies before its commit, in its own steps or in the work, has changed nothing that counts, so
+the next run, whatever its id, finds the same records again; a run that is repeated after its commit gets what it
+committed. Of two runs over the same version the second to commit fails. Nothing is skipped, and nothing
+committed is processed twice.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelattice.session import hadoop_fs, replace_file
+from notelattice.session import remove_path
+from notelattice.sources.versions import VersionLog
 
 STATE_SCHEMA = "key string, hash string"
 
 
+@dataclass
+class Pending:
+    """A run that has begun: the keys to process and the version that counts once it is committed."""
+
+    run: object
+    keys: DataFrame
+    version: int
+    folder: str
+    done: bool = False
+
+
 class StateStore:
-    """Versioned (key, hash) tables below one folder, with an atomically swapped pointer."""
+    """Versioned (key, hash) tables below one folder, and the log of those that count."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self) -> dict:
-        fs, p = hadoop_fs(self.spark, f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return {"version": 0, "run": None}
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
+        self.log = VersionLog(spark, f"{self.path}/log")
 
     @property
     def version(self) -> int:
-        return self._pointer()["version"]
+        return self.log.latest()[0]
 
     @property
     def last_run(self):
         """The run committed last, or null."""
-        return self._pointer()["run"]
-
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v{version:08d}"
+        entry = self.log.latest()[1]
+        return entry["run"] if entry else None
 
-    def _read(self, version: int) -> DataFrame:
-        return self.spark.read.schema("key string, hash string, changed boolean").parquet(self._folder(version))
+    def _read(self, folder: str) -> DataFrame:
+        return self.spark.read.schema("key string, hash string, changed boolean").parquet(f"{self.path}/{folder}")
 
     def current(self) -> DataFrame:
         """The stored (key, hash) rows; empty before the first commit."""
-        version = self.version
-        if not version:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self._read(version).select("key", "hash")
+        entry = self.log.latest()[1]
+        return self._read(entry["folder"]).select("key", "hash") if entry else self.spark.createDataFrame([], STATE_SCHEMA)
 
     def committed(self, version: int | None = None) -> DataFrame:
         """Keys that the run of a version (the last by default) had to process; reads only these."""
-        version = version or self.version
-        if not version:
-            return self.spark.createDataFrame([], "key string")
-        return self._read(version).filter("changed").select("key")
-
-    def _swap(self, version: int, run) -> None:
-        jvm = self.spark.sparkContext._jvm
-        fs, target = hadoop_fs(self.spark, f"{self.path}/CURRENT")
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.CURRENT-{version}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": version, "run": run}).encode()))
-        out.close()
-        replace_file(self.spark, fresh, target)
-
-    def run(self, run, current: DataFrame, keep: int | None = 2, before_swap=None) -> DataFrame:
-        """Commit one run over a full snapshot (key, hash); returns the keys to process.
+        entry = self.log.entry(version) if version else self.log.latest()[1]
+        return self._read(entry["folder"]).filter("changed").select("key") if entry else self.spark.createDataFrame([], "key string")
+
+    def begin(self, run, current: DataFrame) -> Pending:
+        """Join a full snapshot (key, hash) with the state; nothing counts before ``commit``.
 
         One row per key. A null hash means that the content could not be read: nothing is processed
         and what is stored for the key stays. Keys of the state missing from the snapshot are
-        forgotten. Null keys are left out; an empty snapshot empties the state. ``keep`` versions
-        remain on disk (null: all). ``before_swap`` is called when all is written and nothing counts yet.
+        forgotten. Null keys are left out; an empty snapshot empties the state.
         """
-        pointer = self._pointer()
-        if run is not None and pointer["run"] == run:
-            return self.committed()
-        version = pointer["version"] + 1
+        version, entry = self.log.latest()
+        if entry and run is not None and entry["run"] == run:
+            return Pending(run, self.committed(), version, entry["folder"], done=True)
         stored = self.current().withColumnRenamed("hash", "old")
         joined = current.filter("key is not null").select("key", "hash").join(stored, "key", "left")
         changed = F.col("hash").isNotNull() & ~F.col("hash").eqNullSafe(F.col("old"))
         after = joined.select("key", F.coalesce("hash", "old").alias("hash"), changed.alias("changed")).filter("hash is not null")
-        # one table is both the next state and, as a partition of it, what this run has to process
-        after.write.mode("overwrite").partitionBy("changed").parquet(self._folder(version))
-        if before_swap is not None:
-            before_swap()
-        self._swap(version, run)
-        if keep is not None and version > keep:
-            fs, old = hadoop_fs(self.spark, self._folder(version - keep))
-            fs.delete(old, True)
-        return self.committed()
+        # a folder of its own: no writer touches that of another. One table is both the next state and, as a partition, what is to be processed
+        folder = f"v{version + 1:08d}-{uuid.uuid4().hex[:8]}"
+        after.write.partitionBy("changed").parquet(f"{self.path}/{folder}")
+        return Pending(run, self._read(folder).filter("changed").select("key"), version + 1, folder)
+
+    def commit(self, pending: Pending, keep: int | None = 2) -> None:
+        """Make a begun run count; ``keep`` versions remain on disk (null: all).
+
+        Raises ``ConcurrentWriteError`` if another run was committed since this one began.
+        """
+        if pending.done:
+            return
+        self.log.commit(pending.version, {"run": pending.run, "folder": pending.folder})
+        if keep is not None and pending.version > keep:
+            for number in self.log.numbers()[:-keep]:
+                remove_path(self.spark, f"{self.path}/{self.log.entry(number)['folder']}")
+            self.log.prune(keep)
+
+    def abandon(self, pending: Pending) -> None:
+        """Remove what a run wrote that will not be committed."""
+        if not pending.done:
+            remove_path(self.spark, f"{self.path}/{pending.folder}")
+
+    def run(self, run, current: DataFrame, keep: int | None = 2, work: Callable[[DataFrame], object] | None = None) -> DataFrame:
+        """Begin, do the work on the keys, commit; returns the keys. If the work fails nothing counts."""
+        pending = self.begin(run, current)
+        if work is not None:
+            try:
+                work(pending.keys)
+            except BaseException:
+                self.abandon(pending)
+                raise
+        self.commit(pending, keep)
+        return pending.keys
 
 
 def latest_snapshot(rows: DataFrame, by: list[str], key: str, at: str, hash_: str) -> DataFrame:
@@ -120,7 +135,6 @@ def replay_runs(store: StateStore, snapshots: DataFrame, scan: str, runs: list[t
     laid = spark.read.schema(snapshots.schema).parquet(path)
     out = None
     for run, own in runs:
-        store.run(run, laid.filter(F.col(scan) == own).select("key", "hash"), keep=None)
-        keys = store.committed().select(F.lit(run).alias("run"), "key")
+        keys = store.run(run, laid.filter(F.col(scan) == own).select("key", "hash"), keep=None).select(F.lit(run).alias("run"), "key")
         out = keys if out is None else out.unionByName(keys)
     return out

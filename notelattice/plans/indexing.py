@@ -13,7 +13,7 @@ from notelattice.functions import models
 from notelattice.functions.noise import DEFAULT, NoiseWords
 from notelattice.operators import bm25, diff, extraction, graph
 from notelattice.operators import markdown as md
-from notelattice.session import materialize
+from notelattice.session import materialize, scratch_scope
 from notelattice.sources.index_store import IndexStore
 from notelattice.sources.markdown_dir import read_markdown
 
@@ -101,13 +101,17 @@ def index_directory(
     """Bring an index up to date with a directory; files of the index that this walk does not see are removed.
 
     ``depth`` ``structural`` leaves out named entities and key terms. ``progress`` is called with the name of
-    each phase.
+    each phase. All tables change in one transaction: a run that dies leaves the index as it was, and the
+    next run finds the same files new, changed or gone.
     """
+    assert_writable("index", store.settings)
+    with scratch_scope(), store.transaction():
+        return _index(spark, store, root, exclude, rebuild, depth or store.settings.extract_depth, embedder, recogniser, noise, progress or (lambda phase: None))
+
+
+def _index(spark: SparkSession, store: IndexStore, root: str, exclude, rebuild: bool, depth: str, embedder, recogniser, noise: NoiseWords, tell) -> IndexingResult:
     settings: Settings = store.settings
-    assert_writable("index", settings)
     began = time.time()
-    tell = progress or (lambda phase: None)
-    depth = depth or settings.extract_depth
     if rebuild:
         store.clear()
     tell("discovering")

@@ -10,6 +10,7 @@ from notelattice.functions import models
 from notelattice.functions import text as tx
 from notelattice.functions.noise import DEFAULT, NoiseWords
 from notelattice.operators import bm25, extraction, fusion, graph, knn
+from notelattice.schemas import ACRONYMS
 from notelattice.session import materialize
 from notelattice.sources.index_store import IndexStore
 
@@ -28,16 +29,24 @@ def _list(scored: DataFrame, engine: str, idx: int) -> DataFrame:
 
 
 def load_bm25(store: IndexStore, noise: NoiseWords = DEFAULT) -> bm25.Bm25Index:
-    """The stored inverted index; rebuilt from the chunks (and stored, unless read-only) if it is missing."""
-    if all(store.exists(t) for t in ("postings", "lengths", "idf")):
+    """The stored inverted index; rebuilt from the chunks (and stored, unless read-only) if it is missing or unreadable."""
+    if all(store.readable(t) for t in ("postings", "lengths", "idf")):
         return bm25.Bm25Index(store.read("postings"), store.read("lengths"), store.read("idf"))
     index = bm25.build_index(store.read("chunks"), "chunk_id", "text", noise)
     if not store.settings.read_only:
-        for name in ("postings", "lengths", "idf"):
-            store.replace(name, getattr(index, name))
+        with store.transaction():
+            for name in ("postings", "lengths", "idf"):
+                store.replace(name, getattr(index, name))
     return index
 
 
+def load_acronyms(store: IndexStore) -> DataFrame:
+    """The stored acronyms; none if the table is missing or unreadable."""
+    if store.readable("acronyms"):
+        return store.read("acronyms")
+    return store.spark.createDataFrame([], ACRONYMS)
+
+
 def search(
     store: IndexStore,
     queries: DataFrame,
@@ -64,7 +73,7 @@ def search(
         raise NoIndexError("the index has no chunks; index a directory first")
     asked = queries.select("query_id", "query")
     if expand:
-        expanded = extraction.expand_queries(asked, "query_id", "query", store.read("acronyms"))
+        expanded = extraction.expand_queries(asked, "query_id", "query", load_acronyms(store))
         asked = asked.join(expanded, "query_id")
     else:
         asked = asked.withColumn("expanded", F.col("query"))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +34,15 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _OWN_ROOT
 
 
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+_LOOSE: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch folder."""
-    return f"{scratch_root(spark)}/notelattice/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the scratch folder, removed with its scope or at the end of the process."""
+    path = f"{scratch_root(spark)}/notelattice/{name}-{uuid.uuid4().hex[:12]}"
+    (_SCOPES[-1] if _SCOPES else _LOOSE).append((spark, path))
+    return path
 
 
 def hadoop_fs(spark: SparkSession, path: str):
@@ -50,6 +58,35 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
+        try:
+            remove_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone; what is left lies in the scratch folder
+            pass
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Intermediate tables written inside are removed at the end; run the actions that read them inside.
+
+    Tables written outside of any scope are read by a result that is not computed yet; they go with
+    ``clear_scratch`` or at the end of the process.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        _remove(_SCOPES.pop())
+
+
+@atexit.register
+def clear_scratch() -> None:
+    """Remove the intermediate tables written outside of scopes; results that read them can't be computed afterwards."""
+    _remove(_LOOSE)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table that is read more than once to the shared scratch folder and read it back.
 
@@ -61,11 +98,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def replace_file(spark: SparkSession, fresh, target) -> None:
-    """Rename a file over another, atomically where the file system can."""
-    jvm = spark.sparkContext._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    context.rename(fresh, target, options)
+def read_text_file(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file; null if it does not exist."""
+    fs, p = hadoop_fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()

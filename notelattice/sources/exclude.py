@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import Column
@@ -34,7 +35,7 @@ def to_regex(pattern: str) -> str:
 
 def matches(path: str, patterns: list[str]) -> bool:
     """Whether a relative path is excluded; a pattern without ``/`` is held against the file name."""
-    path = path.replace("\\", "/")
+    path = posixpath.normpath(path.replace("\\", "/"))
     for raw in patterns:
         p = normalise(raw)
         if p and re.match(to_regex(p), path if "/" in p else path.rsplit("/", 1)[-1]):

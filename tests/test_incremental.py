@@ -5,6 +5,7 @@ import pytest
 from notelattice.operators.incremental import StateStore, latest_snapshot, replay_runs
 from notelattice.plans.pipeline import p1_found
 from notelattice.session import scratch_path
+from notelattice.sources.versions import ConcurrentWriteError
 
 SNAPSHOT = "key string, hash string"
 
@@ -28,22 +29,39 @@ def test_runs(spark):
     assert store.current().count() == 0
 
 
-def test_failure_before_the_swap_changes_nothing(spark):
+def test_failure_in_the_work_loses_nothing(spark):
     store = StateStore(spark, scratch_path(spark, "t"))
     one = spark.createDataFrame([("a", "1"), ("b", "2")], SNAPSHOT)
     store.run(1, one)
     two = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], SNAPSHOT)
 
-    def die():
+    def die(keys_):
+        assert keys(keys_) == ["b", "c"]
         raise OSError("lost")
 
     with pytest.raises(OSError):
-        store.run(2, two, before_swap=die)
+        store.run(2, two, work=die)
     assert store.last_run == 1 and store.version == 1
-    assert keys(store.run(2, two)) == ["b", "c"]
+    # the next run, under another id, finds the same keys
+    assert keys(store.run(3, two)) == ["b", "c"]
     # repeated after the commit: the same keys, no new version
-    assert keys(store.run(2, two)) == ["b", "c"] and store.version == 2
-    assert keys(store.run(3, two)) == []
+    assert keys(store.run(3, two)) == ["b", "c"] and store.version == 2
+    assert keys(store.run(4, two)) == []
+
+
+def test_second_writer_fails(spark):
+    store = StateStore(spark, scratch_path(spark, "t"))
+    snap = lambda *rows: spark.createDataFrame(list(rows), SNAPSHOT)
+    store.run(1, snap(("a", "1")))
+    first, second = store.begin(2, snap(("a", "2"))), StateStore(spark, store.path).begin(3, snap(("a", "3")))
+    store.commit(first)
+    with pytest.raises(ConcurrentWriteError):
+        store.commit(second)
+    assert store.last_run == 2 and [tuple(r) for r in store.current().collect()] == [("a", "2")]
+    assert keys(store.run(3, snap(("a", "3")))) == ["a"]
+    for i in range(4, 8):
+        store.run(i, snap(("a", str(i))))
+    assert len(store.log.numbers()) == 2 and [tuple(r) for r in store.current().collect()] == [("a", "7")]
 
 
 def brute(files, runs):
@@ -87,13 +105,31 @@ def test_no_runs(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    from notelattice.streaming.changes import stream_changes
+    from notelattice.streaming.changes import SnapshotStream, stream_changes
 
-    schema = "file_path string, last_modified timestamp, checksum string"
-    got = []
-    for i, rows in enumerate(([("a", None, "1"), ("b", None, "2")], [("a", None, "1"), ("b", None, "3")], [("b", None, "3")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        q = stream_changes(spark, f"{tmp_path}/in", schema, f"{tmp_path}/state", f"{tmp_path}/check", lambda df, n: got.append(keys(df)))
+    schema = "scan_id int, file_path string, last_modified timestamp, checksum string"
+    got, fail = [], [True]
+
+    def sink(df, scan):
+        if scan == 2 and fail.pop():
+            fail.append(False)
+            raise OSError("lost")
+        got.append((scan, keys(df)))
+
+    make = lambda: SnapshotStream(spark, schema, f"{tmp_path}/state", sink)
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = stream_changes(make(), f"{tmp_path}/in", f"{tmp_path}/check", 1)
         q.awaitTermination()
-        assert q.exception() is None
-    assert got == [["a", "b"], ["b"], []]
+
+    arrive((1, "a", None, "1"), (1, "b", None, "2"))
+    arrive((1, "c", None, "3"))  # the same snapshot, in a second file
+    arrive((2, "a", None, "1"))
+    arrive((2, "b", None, "4"), (2, "c", None, "3"))
+    assert got == [(1, ["a", "b", "c"])]
+    with pytest.raises(Exception):
+        arrive((3, "b", None, "4"))
+    arrive((3, "d", None, "4"))  # the failed batch is offered again
+    make().finish()
+    assert got == [(1, ["a", "b", "c"]), (2, ["b"]), (3, ["d"])]

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from notelattice import schemas
 from notelattice.config import ReadOnlyError, Settings, load_env, load_settings
 from notelattice.functions import models
 from notelattice.operators import bm25, diff, fusion, graph, knn
@@ -13,6 +14,7 @@ from notelattice.plans.searching import NoIndexError, search
 from notelattice.session import scratch_path
 from notelattice.sources.index_store import IndexStore
 from notelattice.sources.markdown_dir import list_markdown, read_markdown
+from notelattice.sources.versions import ConcurrentWriteError
 
 
 def test_bm25(spark):
@@ -121,6 +123,29 @@ def test_walk_of_a_tree(spark, tmp_path):
     assert read_markdown(spark, str(tmp_path / "missing")).collect() == []
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_names_of_any_kind(spark, tmp_path, scheme):
+    root = tmp_path / "va[u]lt {x}"
+    names = ["[draft] b.md", "{x}.md", "a*?.md", "b c%20d.md", "back\\slash.md", "#h.md", "é.md", "[y]/z.MD", "out/o.md", *([] if scheme else ["q:r.md"])]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"# T {name}")
+    (root / "bytes.md").write_bytes(b"\xff\xfe")
+    rows = {r.file_path: r for r in read_markdown(spark, f"{scheme}{root}", ["out/**"]).collect()}
+    assert set(rows) == {f"{root}/{n}" for n in names if n != "out/o.md"} | {f"{root}/bytes.md"}
+    assert all(r.title == f"T {p[len(str(root)) + 1:]}" for p, r in rows.items() if not p.endswith("bytes.md"))
+    assert set(rows[f"{root}/bytes.md"].content) == {"\ufffd"} and len(rows[f"{root}/bytes.md"].checksum) == 32
+
+
+def test_a_file_that_vanishes(spark, tmp_path, monkeypatch):
+    from notelattice.sources import markdown_dir
+
+    write(tmp_path, a="# A", b="# B")
+    listed = markdown_dir.list_markdown(str(tmp_path))
+    monkeypatch.setattr(markdown_dir, "list_markdown", lambda *_: [*listed, f"{tmp_path}/gone.md"])
+    assert [r.title for r in read_markdown(spark, str(tmp_path)).orderBy("title").collect()] == ["A", "B"]
+
+
 def write(folder, **files):
     for name, text in files.items():
         (folder / f"{name}.md").write_text(text)
@@ -185,3 +210,86 @@ def test_settings(tmp_path):
     assert (got.default_top_k, got.fusion_k, got.read_only, got.semantic_floor, got.ner_entity_types) == (7, 60, True, 0.25, ("a", "b"))
     (tmp_path / ".env").write_text("# c\nA='x y'\nexport B=2 # note\nC=3\n")
     assert load_env(str(tmp_path / ".env"), {"C": "kept"}) == {"A": "x y", "B": "2", "C": "kept"}
+
+
+def contents(store):
+    """All tables but the times of a run."""
+    drop = {"files": "last_modified", "stats": "last_indexed"}
+    return {t: sorted(map(str, store.read(t).drop(drop.get(t, "")).collect())) for t in schemas.TABLES}
+
+
+def test_a_run_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    write(docs, a="# Alpha\nOne [[Beta]] #tag.", b="# Beta\nTwo words.")
+    settings = Settings(embedding_dim=8)
+    store, smooth = (IndexStore(spark, scratch_path(spark, n), settings) for n in ("ix", "ix"))
+    for s in (store, smooth):
+        index_directory(spark, s, str(docs))
+    before = contents(store)
+    write(docs, a="# Alpha\nChanged [[Gamma]] text.", c="# New\nThree.")
+    (docs / "b.md").unlink()
+    replace = IndexStore.replace
+    for at in (2, 11):
+        calls = []
+
+        def dying(self, table, rows):
+            calls.append(table)
+            if len(calls) == at:
+                raise OSError("lost")
+            replace(self, table, rows)
+
+        monkeypatch.setattr(IndexStore, "replace", dying)
+        with pytest.raises(OSError):
+            index_directory(spark, store, str(docs))
+        assert len(calls) == at
+        monkeypatch.setattr(IndexStore, "replace", replace)
+        assert contents(IndexStore(spark, store.root, settings)) == before
+    # another writer commits while this run works
+    with pytest.raises(ConcurrentWriteError), store.transaction():
+        store.replace("chunks", store.read("chunks").limit(0))
+        IndexStore(spark, store.root, settings).replace("stats", smooth.read("stats"))
+    assert store.read("chunks").count() == len(before["chunks"])
+    for s in (store, smooth):
+        assert index_directory(spark, s, str(docs)).files_processed == 2
+    assert contents(store) == contents(smooth) != before
+
+
+def test_unreadable_tables(spark, tmp_path):
+    store = IndexStore(spark, scratch_path(spark, "ix"), Settings(embedding_dim=8))
+    store.replace("chunks", spark.createDataFrame([("c", "/a.md", ["H"], 1, "alpha beta", 0, 0)], schemas.CHUNKS))
+    q = spark.createDataFrame([(1, "alpha")], "query_id int, query string")
+    assert search(store, q, mode="bm25").count() == 1  # built and stored
+    store.replace("acronyms", spark.createDataFrame([("AB", "Alpha Beta", 0)], schemas.ACRONYMS))
+    for table in ("postings", "acronyms"):
+        folder = store._folder(table).removeprefix("file://")
+        for name in os.listdir(folder):
+            if name.endswith(".parquet"):
+                open(f"{folder}/{name}", "wb").write(b"not parquet")
+                if os.path.exists(f"{folder}/.{name}.crc"):
+                    os.remove(f"{folder}/.{name}.crc")
+    assert not store.readable("postings") and search(store, q, mode="bm25").count() == 1 and store.readable("postings")
+    assert store.get_chunk("c")["text"] == "alpha beta" and store.get_chunk("x") is None and store.get_chunks(["c", "x"]).count() == 1
+    assert store.get_file("/a.md") is None and [r.chunk_id for r in store.chunk_ids_of("/a.md").collect()] == ["c"]
+    assert [tuple(r) for r in store.chunk_ids_by_file().collect()] == [("/a.md", ["c"])]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from notelattice import cli, config
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    write(docs, a="# Alpha\nGraph walks visit neighbours.")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("NOTELATTICE_INDEX_DIR", f"{tmp_path}/index")
+    monkeypatch.setenv("NOTELATTICE_EMBEDDING_DIM", "8")
+    config.reset_settings()
+    try:
+        assert cli.main(["index", str(docs), "--extract-depth", "structural"]) == 0
+        assert "files_processed=1" in capsys.readouterr().out
+        assert cli.main(["search", "graph walks", "--mode", "bm25", "--top", "1"]) == 0
+        assert "Alpha" in capsys.readouterr().out
+        assert cli.main(["status"]) == 0 and "'total_files': 1" in capsys.readouterr().out
+        assert cli.main(["clear"]) == 0 and cli.main(["status"]) == 0 and "'total_files': 0" in capsys.readouterr().out
+    finally:
+        config.reset_settings()
