@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from notelattice.functions import text as tx
 from notelattice.functions.noise import DEFAULT, NoiseWords
+from notelattice.operators.counting import count_terms
 from notelattice.session import materialize
 
 K1, B = 1.5, 0.75
-#: Rows (query, term) that are broadcast at most; more meet the postings by shuffle.
+#: Rows (query, term) that are broadcast at once.
 BROADCAST_TERMS = 200_000
 
 
@@ -30,32 +31,40 @@ class Bm25Index:
 
 
 def build_index(df: DataFrame, key: str, text: str, noise: NoiseWords = DEFAULT) -> Bm25Index:
-    """Index rows of a table with one row per key; null texts have no tokens. Tokens are taken once and written."""
-    rows = materialize(df.select(F.col(key).alias("chunk_id"), tx.tokenize(F.col(text), noise).alias("tokens")), "tokens")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    # laid out by chunk before the explosion: counting then needs no shuffle of single tokens
-    laid = rows.repartition(parts, "chunk_id").select("chunk_id", F.explode("tokens").alias("term"))
-    postings = materialize(laid.groupBy("term", "chunk_id").agg(F.count("*").alias("tf")), "postings")
-    lengths = rows.select("chunk_id", F.size("tokens").cast("bigint").alias("len"))
+    """Index rows of a table with one row per key; null texts have no tokens. Tokens are counted where their row lies."""
+    postings = materialize(count_terms(df, key, tx.tokenize(F.col(text), noise)).select("term", F.col(key).alias("chunk_id"), "tf", "len"), "postings")
+    own = postings.groupBy("chunk_id").agg(F.max("len").alias("len"))
+    lengths = materialize(df.select(F.col(key).alias("chunk_id")).join(own, "chunk_id", "left").select("chunk_id", F.coalesce("len", F.lit(0)).alias("len")), "lengths")
     n = lengths.agg(F.count("*").alias("n"))
     df_ = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df_.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    return Bm25Index(postings, lengths, idf)
+    return Bm25Index(postings.drop("len"), lengths, materialize(idf, "idf"))
 
 
 def search(queries: DataFrame, query_id: str, query: str, index: Bm25Index, k: int | None, noise: NoiseWords = DEFAULT) -> DataFrame:
     """Rows (query_id, chunk_id, score, rank): the k best of each query, ranks from 0, ties by chunk_id.
 
-    A token repeated in a query counts as often. Only postings of query terms are touched.
+    A token repeated in a query counts as often. The postings stay where they lie: the terms of the queries are sent to
+    them, in slices of whole queries of at most about ``BROADCAST_TERMS`` rows. No hot term is gathered anywhere.
     """
     terms = queries.select(F.col(query_id).alias("q"), F.explode(tx.tokenize(F.col(query), noise)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
     weighted = materialize(terms.join(index.idf, "term").select("q", "term", (F.col("qtf") * F.col("idf")).alias("w")), "weighted")
-    # postings stay where they are while the query terms are few enough to be sent to them
-    few = weighted.count() <= BROADCAST_TERMS
-    hits = index.postings.join(F.broadcast(weighted) if few else weighted, "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.statistics()))  # one row
-    gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    slices = max(1, -(-weighted.count() // BROADCAST_TERMS))
+    found = None
+    for i in range(slices):
+        own = weighted if slices == 1 else weighted.filter(F.pmod(F.xxhash64("q"), F.lit(slices)) == i)
+        part = _scored(own, index, k)
+        part = part if slices == 1 else materialize(part, "scored")
+        found = part if found is None else found.unionByName(part)
+    return found.withColumnRenamed("q", query_id)
+
+
+def _scored(weighted: DataFrame, index: Bm25Index, k: int | None) -> DataFrame:
+    """Scores of a slice of queries; the sums of a (query, chunk) are combined before they are shuffled."""
+    corpus = index.statistics().first()
+    mean = float(corpus["avg_len"]) or 1.0
+    hits = index.postings.join(F.broadcast(weighted), "term").join(index.lengths, "chunk_id")
+    gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
     scores = hits.groupBy("q", "chunk_id").agg(F.round(F.sum(gain), 9).alias("score")).filter("score > 0")
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id")) - 1)
-    if k is not None:
-        ranked = ranked.filter(F.col("rank") < k)
-    return ranked.withColumnRenamed("q", query_id)
+    return ranked if k is None else ranked.filter(F.col("rank") < k)

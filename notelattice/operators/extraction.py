@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from notelattice.functions import text as tx
 from notelattice.functions.noise import DEFAULT, NoiseWords
 from notelattice.operators import markdown as md
+from notelattice.operators.counting import count_terms
+from notelattice.operators.skew import numbered, with_frequency
+from notelattice.session import materialize
 
 LEAST_TERM = 3
 
@@ -42,25 +45,22 @@ def structural_relations(df: DataFrame, keys: list[str], content: str, path: str
 
 
 def term_rows(df: DataFrame, key: str, text: str, noise: NoiseWords = DEFAULT, most: int = 3) -> DataFrame:
-    """Rows (key, term, n, tf, first) of the 1- to 3-grams of each text; ``first`` orders equal terms.
+    """Rows (key, term, tf, first) of the 1- to 3-grams of each text; ``first`` orders equal terms. One row per key.
 
     Tokens shorter than three characters are left out before n-grams are formed.
     """
     words = F.filter(tx.tokenize(F.col(text), noise), lambda w: F.length(w) >= LEAST_TERM)
-    # the tokens are a column of their own, so that they are taken once and not at each use
-    grams = df.select(F.col(key).alias("k"), words.alias("w")).select("k", F.posexplode(tx.ngrams(F.col("w"), most)).alias("i", "term"))
-    rows = grams.groupBy("k", "term").agg(F.count("*").alias("tf"), F.min("i").alias("first"))
-    return rows.select(F.col("k").alias(key), "term", "tf", "first")
+    return count_terms(df, key, words, most).select(key, "term", "tf", "first")
 
 
 def tfidf_per_document(rows: DataFrame, key: str, corpus: DataFrame, total: DataFrame | int, k: int = 10) -> DataFrame:
     """Rows (key, term, tf, score, place): the k best terms by ``tf * ln(N / df)``, earlier terms first among equals.
 
-    ``corpus`` has the document frequencies (term, df); a term without one counts as 1.
+    ``corpus`` has the document frequencies (term, df); a term without one counts as 1. Both should be written tables.
     """
-    joined = rows.join(corpus, "term", "left")
-    joined = joined.withColumn("n", F.lit(total)) if isinstance(total, int) else joined.crossJoin(F.broadcast(total))  # one row
-    score = F.round(F.col("tf") * F.log(F.col("n") / F.coalesce("df", F.lit(1))), 9)
+    n = total if isinstance(total, int) else total.first()["n"]  # one row
+    joined = with_frequency(rows, corpus, n)
+    score = F.round(F.col("tf") * F.log(F.lit(n) / F.coalesce("df", F.lit(1))), 9)
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("first"))
     return joined.withColumn("score", score).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(key, "term", "tf", "score", "place")
 
@@ -81,11 +81,12 @@ def heading_terms(content: Column) -> Column:
     return F.transform(md.headings(content)["text"], lambda t: F.struct(t.alias("name"), F.lit("heading").alias("type"), F.lit("keyterm").alias("source")))
 
 
-def key_terms(df: DataFrame, key: str, text: str, corpus: DataFrame, total: DataFrame | int, noise: NoiseWords = DEFAULT, k: int = 10) -> DataFrame:
-    """Rows (key, ord, name): words of the headings, then the k best n-grams."""
+def key_terms(df: DataFrame, key: str, text: str, corpus: DataFrame, total: DataFrame | int, noise: NoiseWords = DEFAULT, k: int = 10, rows: DataFrame | None = None) -> DataFrame:
+    """Rows (key, ord, name): words of the headings, then the k best n-grams. ``rows`` are the ``term_rows`` of these texts, if taken already."""
     words = F.flatten(F.transform(F.col("_h.text"), lambda t: F.filter(tx.tokenize(t, noise), lambda w: F.length(w) >= LEAST_TERM)))
     from_headings = df.select(key, md.headings(F.col(text)).alias("_h")).select(key, F.posexplode(words).alias("ord", "name"))
-    best = tfidf_per_document(term_rows(df, key, text, noise), key, corpus, total, k)
+    rows = materialize(term_rows(df, key, text, noise), "terms") if rows is None else rows
+    best = tfidf_per_document(rows, key, corpus, total, k)
     return from_headings.unionByName(best.select(key, (F.col("place") + 1_000_000).alias("ord"), F.col("term").alias("name")))
 
 
@@ -117,9 +118,17 @@ def acronym_dictionary(df: DataFrame, key: str, text: str, noise: NoiseWords = D
     best = per_text.groupBy("acronym").agg(
         F.min(F.struct((-F.length("expansion")).alias("l"), "k", "expansion")).alias("b"), F.min(F.struct("k", "i")).alias("first")
     )
-    # distinct acronyms of a collection: a small table, numbered over a total order
-    number = F.row_number().over(Window.orderBy("first.k", "first.i", "acronym")) - 1
-    return best.select("acronym", F.col("b.expansion").alias("expansion"), number.cast("bigint").alias("ord"))
+    rows = best.select("acronym", F.col("b.expansion").alias("expansion"), F.col("first.k").alias("_k"), F.col("first.i").alias("_i"))
+    return numbered(rows, ["_k", "_i", "acronym"], "ord").select("acronym", "expansion", "ord")
+
+
+def _variants(word: Column, distance: int) -> Column:
+    """A word with 0 to ``distance`` of its characters left out: words within so many edits have one in common."""
+    out = F.array(word)
+    for _ in range(distance):
+        shorter = F.flatten(F.transform(out, lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.length(w)), lambda i: i > 0), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))))
+        out = F.array_distinct(F.concat(out, shorter))
+    return out
 
 
 def expand_queries(queries: DataFrame, key: str, query: str, dictionary: DataFrame, distance: int = 1) -> DataFrame:
@@ -130,10 +139,9 @@ def expand_queries(queries: DataFrame, key: str, query: str, dictionary: DataFra
     """
     terms = queries.select(F.col(key).alias("k"), F.posexplode(F.split(query, r"\s+")).alias("i", "term"))
     words = terms.select(F.upper("term").alias("u")).distinct()
-    near = (F.levenshtein("u", "acronym", distance) >= 0) if distance else (F.col("u") == F.col("acronym"))
-    # edits: words and acronyms meet by length, not all with all
-    a = dictionary.select("acronym", "expansion", "ord", F.explode(F.sequence(F.length("acronym") - distance, F.length("acronym") + distance)).alias("l"))
-    hits = words.withColumn("l", F.length("u")).join(a, "l").filter(near)
+    # words and acronyms meet at a common variant with characters left out, and the distance is checked
+    a = dictionary.select("acronym", "expansion", "ord", F.explode(_variants(F.col("acronym"), distance)).alias("v"))
+    hits = words.select("u", F.explode(_variants(F.col("u"), distance)).alias("v")).join(a, "v").filter(F.levenshtein("u", "acronym", distance) >= 0)
     best = hits.groupBy("u").agg(F.min(F.struct((F.col("u") != F.col("acronym")).alias("far"), "ord", "expansion")).alias("b"))
     joined = terms.withColumn("u", F.upper("term")).join(best.select("u", F.col("b.expansion").alias("expansion")), "u", "left")
     lists = joined.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "term", "expansion"))).alias("t"))

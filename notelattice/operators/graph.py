@@ -7,9 +7,10 @@ bounded by nodes, not by paths.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelattice.operators.skew import spread_join
 from notelattice.session import materialize
 
 KEY = ["source_id", "target_id", "relation_type"]
@@ -69,7 +70,7 @@ def walk(seeds: DataFrame, seed: str, edges: DataFrame, hops: int) -> DataFrame:
     frontier = seeds.select(F.col(seed).alias("s")).distinct().withColumn("node", F.col("s"))
     visited, out = frontier, None
     for hop in range(hops):
-        emitted = frontier.join(both, "node").select("s", "neighbour", "relation_type", "weight")
+        emitted = spread_join(frontier, both, "node", "neighbour").select("s", "neighbour", "relation_type", "weight")
         out = emitted if out is None else out.unionByName(emitted)
         if hop + 1 < hops:
             fresh = emitted.select("s", F.col("neighbour").alias("node")).distinct().join(visited, ["s", "node"], "left_anti")
@@ -90,15 +91,16 @@ def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame
     both = incident(edges)
     factor = F.when(F.col("relation_type").isin("LINKS_TO", "MENTIONS"), 1.5).otherwise(1.0)
     # what a node gives its neighbouring sections is summed before any walk meets it
-    given_by = both.filter(F.col("neighbour").startswith("section:")).groupBy("node", "neighbour").agg(F.sum(F.col("weight") * factor).alias("gain"))
-    links = materialize(both.select("node", "neighbour").distinct(), "links")
+    sums = both.groupBy("node", "neighbour").agg(F.sum(F.col("weight") * factor).alias("gain"))
+    links = materialize(sums, "links")
+    given_by = links.filter(F.col("neighbour").startswith("section:"))
     frontier = ids.withColumn("node", F.col("s"))
     visited = frontier
     for _ in range(hops - 1):
-        fresh = frontier.join(links, "node").select("s", F.col("neighbour").alias("node")).distinct().join(visited, ["s", "node"], "left_anti")
+        fresh = spread_join(frontier, links.select("node", "neighbour"), "node", "neighbour").select("s", F.col("neighbour").alias("node")).distinct().join(visited, ["s", "node"], "left_anti")
         frontier = materialize(fresh, "frontier")
         visited = visited.unionByName(frontier)
-    gains = visited.join(given_by, "node").groupBy(F.col("s").alias("seed"), "neighbour").agg(F.sum("gain").alias("gain"))
+    gains = spread_join(visited, given_by, "node", "neighbour").groupBy(F.col("s").alias("seed"), "neighbour").agg(F.sum("gain").alias("gain"))
     own = seeds.select("query_id", "ord", F.concat(F.lit("section:"), "chunk_id").alias("node"))
     given = own.withColumnRenamed("node", "seed").join(gains, "seed").select("query_id", F.col("ord").alias("from"), F.col("neighbour").alias("node"), "gain")
     met = given.join(own, ["query_id", "node"], "left").filter("ord is null or `from` > ord").groupBy("query_id", "node").agg(F.sum("gain").alias("score"))
@@ -109,8 +111,6 @@ def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame
 
 def distinct_seeds(lists: DataFrame, query: str, item: str, k: int) -> DataFrame:
     """Rows (query, ord, item): items of concatenated lists (query, list_idx, rank, item), first places kept, k at most."""
-    from pyspark.sql import Window
-
     first = lists.groupBy(query, item).agg(F.min(F.struct("list_idx", "rank")).alias("at"))
     return first.withColumn("ord", F.row_number().over(Window.partitionBy(query).orderBy("at", item)) - 1).filter(F.col("ord") < k).select(query, "ord", item)
 

@@ -1,8 +1,8 @@
 """Exact nearest neighbours of a stated query set, in blocks.
 
-Queries and rows are packed into blocks of bounded size; each pair of blocks is one matrix product,
-of which only the best of each query leave the task. The query set against all rows is the whole
-work; no row pair is ever materialised.
+The queries go to the rows, not the rows to the queries: slices of the query matrix of bounded size
+are broadcast, and the vector table is read where it lies, Arrow buffers as matrices. Of each product only
+the best of each query leave the task. Nothing but these is shuffled, and no row pair is ever materialised.
 """
 
 from __future__ import annotations
@@ -11,54 +11,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 2_048
+from notelattice.session import materialize
 
+#: Numbers in a slice of the query matrix that is broadcast (64 MB), and rows of the table multiplied at once.
+SLICE, BLOCK = 8_000_000, 2_048
 
-def _packed(df: DataFrame, key: str, embedding: str, name: str, block: int) -> DataFrame:
-    rows = df.filter(F.col(embedding).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(embedding).cast("array<double>").alias("e"))
-    n = rows.count()
-    blocks = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(-(-n // block) or 1)).alias("b"))
-    return blocks.agg(F.collect_list("k").alias(f"{name}_k"), F.collect_list("e").alias(f"{name}_e")).drop("b")
 
-
-def _matrix(vectors: list[list[float]], dim: int) -> np.ndarray:
-    """Unit rows; a vector of another length or norm zero is a zero row, so its similarity is 0."""
-    x = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        if len(v) == dim:
-            x[i] = v
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows; a vector of another length, with a component that is null or not finite, or of norm zero is a zero row, so its similarity is 0."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = np.nan_to_num(pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64), nan=np.nan, posinf=np.nan, neginf=np.nan)
+    x = np.zeros((len(column), dim))
+    fit = sizes == dim
+    x[fit] = flat.reshape(-1, dim) if fit.all() else flat[np.repeat(fit, sizes)].reshape(-1, dim)
+    x[~np.isfinite(x).all(axis=1)] = 0
+    x /= np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 1e-300)  # before squaring: no overflow, no underflow
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def nearest(queries: DataFrame, query_id: str, query_vector: str, rows: DataFrame, key: str, vector: str, k: int, dim: int, floor: float | None = None, block: int = BLOCK) -> DataFrame:
+def _best(s: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names, similarities) of the k best columns of each row, ties by name; names are sorted."""
+    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return names[order], np.take_along_axis(s, order, axis=1)
+
+
+def nearest(queries: DataFrame, query_id: str, query_vector: str, rows: DataFrame, key: str, vector: str, k: int, dim: int, floor: float | None = None, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
     """Rows (query_id, key, cosine, rank): the k most similar rows of each query, ranks from 0, ties by key.
 
-    Cosines are rounded to 9 digits. With a floor only cosines of at least so much count.
+    Cosines are rounded to 9 digits. With a floor only cosines of at least so much count. Null keys and vectors are left out.
     """
-    left, right = _packed(queries, query_id, query_vector, "q", block), _packed(rows, key, vector, "r", block)
+    spark = rows.sparkSession
+    asked = materialize(queries.filter(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("e")), "queries")
+    table = rows.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("e"))
     schema = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("k", rows.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = [batch.schema.field(c).type.value_type for c in ("q_k", "r_k")]
-            for r in batch.to_pylist():
-                names = np.array(r["r_k"], dtype=object)
-                order = np.argsort(names, kind="stable")
-                names = names[order]
-                s = np.round(_matrix(r["q_e"], dim) @ _matrix(r["r_e"], dim)[order].T, 9)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(s, best, axis=1)
-                row = np.repeat(np.arange(len(s)), best.shape[1])
-                ids = [r["q_k"][i] for i in row.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(names[best.ravel()].tolist(), kinds[1]), pa.array(value.ravel())], names=["q", "k", "cosine"])
-
-    pairs = left.repartition(max(1, min(64, left.sparkSession.sparkContext.defaultParallelism))).crossJoin(right)  # block pairs, not row pairs
-    found = pairs.mapInArrow(product, schema)
+    slices = max(1, -(-asked.count() * dim // slice_))
+
+    def product(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            names, cosine, kind = None, np.zeros((len(q), 0)), None
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                for at in range(0, batch.num_rows, block):
+                    part = batch.slice(at, block)
+                    own = np.array(part.column(0).to_pylist(), dtype=object)
+                    s = np.round(q @ _matrix(part.column(1), dim).T, 9)
+                    # best of the block joined to the best so far, each query's own names in order
+                    order = np.argsort(own, kind="stable")
+                    near, value = _best(s[:, order], own[order], k)
+                    if names is not None:
+                        near, value = np.concatenate([names, near], axis=1), np.concatenate([cosine, value], axis=1)
+                        i = np.argsort(near, axis=1, kind="stable")
+                        near, value = np.take_along_axis(near, i, axis=1), np.take_along_axis(value, i, axis=1)
+                        i = np.argsort(-value, axis=1, kind="stable")[:, :k]
+                        near, value = np.take_along_axis(near, i, axis=1), np.take_along_axis(value, i, axis=1)
+                    names, cosine = near, value
+            if names is not None:
+                asked_by = np.repeat(np.arange(len(q)), names.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked_by)), pa.array(names.ravel().tolist(), kind), pa.array(cosine.ravel())], names=["q", "k", "cosine"])
+
+        return table.mapInArrow(run, schema)
+
+    found = None
+    for i in range(slices):
+        own = (asked if slices == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(slices)) == i)).toArrow()  # at most about ``slice_`` numbers
+        if own.num_rows:
+            sent = spark.sparkContext.broadcast((own.column(0).combine_chunks(), _matrix(own.column(1).combine_chunks(), dim)))
+            part = product(sent) if slices == 1 else materialize(product(sent), "near")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
     if floor is not None:
         found = found.filter(F.col("cosine") >= floor)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "k")) - 1).filter(F.col("rank") < k)

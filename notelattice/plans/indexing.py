@@ -151,7 +151,8 @@ def _index(spark: SparkSession, store: IndexStore, root: str, exclude, rebuild:
         ner = models.named_entities(chunks, "chunk_id", "text", recogniser, settings.ner_entity_types)
         corpus = materialize(extraction.term_rows(store.read("chunks"), "chunk_id", "text", noise), "terms")
         total = store.read("chunks").agg(F.count("*").alias("n"))
-        terms = extraction.key_terms(chunks, "chunk_id", "text", extraction.document_frequencies(corpus), total, noise)
+        own = materialize(corpus.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), "terms")
+        terms = extraction.key_terms(chunks, "chunk_id", "text", materialize(extraction.document_frequencies(corpus), "frequencies"), total, noise, rows=own)
     nodes, edges, provenance, counts = build_graph(chunks, files, ner, terms)
     nodes, edges, provenance = materialize(nodes, "nodes"), materialize(edges, "edges"), materialize(provenance, "provenance")
     store.upsert("nodes", nodes)

@@ -28,8 +28,9 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per chunk: repeated rows are equal in every column."""
-    return read(spark, folder, "chunks").dropDuplicates(["chunk_id"])
+    """A row per chunk: repeated rows are equal in every column. One shuffle, into as many tasks as set."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return read(spark, folder, "chunks").repartition(parts, "chunk_id").dropDuplicates(["chunk_id"])
 
 
 def titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,29 +100,31 @@ def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
 # -- key terms
 
 
-def _terms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _terms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Term rows and document frequencies, both written once, and the number of chunks."""
     rows = chunk_rows(spark, folder).filter("text is not null")
-    return extraction.term_rows(rows, "chunk_id", "text"), rows.agg(F.count("*").alias("n"))
+    terms = materialize(extraction.term_rows(rows, "chunk_id", "text"), "terms")
+    return terms, materialize(extraction.document_frequencies(terms), "frequencies"), rows.agg(F.count("*").alias("n"))
 
 
 @query
 def tfidf_doc_topk(spark: SparkSession, folder: str) -> DataFrame:
-    terms, total = _terms(spark, folder)
-    best = extraction.tfidf_per_document(terms, "chunk_id", extraction.document_frequencies(terms), total)
+    terms, frequencies, total = _terms(spark, folder)
+    best = extraction.tfidf_per_document(terms, "chunk_id", frequencies, total)
     return best.select("chunk_id", "term", F.round("score", 6).alias("score"))
 
 
 @query
 def tfidf_corpus_topk(spark: SparkSession, folder: str) -> DataFrame:
-    terms, total = _terms(spark, folder)
+    terms, _, total = _terms(spark, folder)
     return extraction.tfidf_corpus(terms, total)
 
 
 @query
 def keyterms(spark: SparkSession, folder: str) -> DataFrame:
-    terms, total = _terms(spark, folder)
+    terms, frequencies, total = _terms(spark, folder)
     rows = chunk_rows(spark, folder).filter("text is not null")
-    found = extraction.key_terms(rows, "chunk_id", "text", extraction.document_frequencies(terms), total)
+    found = extraction.key_terms(rows, "chunk_id", "text", frequencies, total, rows=terms)
     return found.select("chunk_id", "name").distinct()
 
 
