@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notelattice.functions import models
 from notelattice.functions import text as tx
 from notelattice.operators import bm25, diff, extraction, fusion, graph, knn
 from notelattice.operators import markdown as md
-from notelattice.plans import searching
+from notelattice.plans import indexing, searching
 from notelattice.session import materialize, scratch_path
 from notelattice.sources.exclude import excluded
 from notelattice.sources.index_store import IndexStore
@@ -179,12 +181,6 @@ def knn_floor_brute(spark: SparkSession, folder: str) -> DataFrame:
     return knn.brute_search(asked, "query_id", "q", rows, "vec_id", "embedding", 10, 64, 0.4).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query
-def vec_dim_filter(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "vectors").filter("embedding is not null")
-    return rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("chunks"))
-
-
 # -- fusion
 
 
@@ -307,37 +303,6 @@ def exclude_globs(spark: SparkSession, folder: str) -> DataFrame:
 # -- acronyms
 
 
-def _acronym_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts (doc, text) with the titles of files next to their initials, in all three shapes."""
-    long = F.initcap(F.lower("title"))
-    rows = read(spark, folder, "files").filter("title rlike '^[A-Za-z]+( [A-Za-z]+)+$'").select(F.col("title").alias("doc"), long.alias("n")).distinct()
-    initials = F.array_join(F.transform(F.split("n", " "), lambda w: F.substring(w, 1, 1)), "")
-    rows = rows.withColumn("a", initials)
-    shape = F.length("doc") % 3
-    text = F.when(shape == 0, F.concat("n", F.lit(" ("), "a", F.lit(") and CSS (Cascading Style Sheets)."))).when(shape == 1, F.concat(F.lit("the "), "a", F.lit(" ("), "n", F.lit(")."))).otherwise(
-        F.concat("n", F.lit(" — "), "a", F.lit(", Other Name ("), "a", F.lit(")"))
-    )
-    return rows.select("doc", text.alias("text"))
-
-
-@query
-def acronyms(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _acronym_texts(spark, folder).select("doc", F.explode(extraction.acronyms(F.col("text"))).alias("x"))
-    return rows.select("doc", "x.acronym", "x.expansion")
-
-
-@query
-def acronym_dict(spark: SparkSession, folder: str) -> DataFrame:
-    return extraction.acronym_dictionary(_acronym_texts(spark, folder), "doc", "text").select("acronym", "expansion", "ord")
-
-
-@query
-def expand_query(spark: SparkSession, folder: str) -> DataFrame:
-    dictionary = extraction.acronym_dictionary(_acronym_texts(spark, folder), "doc", "text")
-    asked = dictionary.select("ord", F.concat(F.lit("about "), F.lower("acronym"), F.lit(" and "), "acronym", F.lit("x or about Zz")).alias("q"))
-    return extraction.expand_queries(asked, "ord", "q", dictionary)
-
-
 def _captured_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Texts (doc, text) of all documents and chunks, as captured."""
     docs = read(spark, folder, "documents").select(F.concat(F.lit("document:"), "doc_id").alias("doc"), "text")
@@ -345,22 +310,22 @@ def _captured_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def text_acronyms(spark: SparkSession, folder: str) -> DataFrame:
-    """Acronyms of the captured texts; ``acronyms`` and its two followers have sentences made of titles."""
+def acronyms(spark: SparkSession, folder: str) -> DataFrame:
     rows = _captured_texts(spark, folder).select("doc", F.explode(extraction.acronyms(F.col("text"))).alias("x"))
     return rows.select("doc", "x.acronym", "x.expansion")
 
 
 @query
-def text_acronym_dict(spark: SparkSession, folder: str) -> DataFrame:
+def acronym_dict(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.acronym_dictionary(_captured_texts(spark, folder), "doc", "text").select("acronym", "expansion", "ord")
 
 
 @query
-def text_expand_query(spark: SparkSession, folder: str) -> DataFrame:
+def expand_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of the documents whose id is divisible by 20, and for each acronym a query that has it and words one edit away."""
     dictionary = materialize(extraction.acronym_dictionary(_captured_texts(spark, folder), "doc", "text"), "acronyms")
-    asked = dictionary.select("ord", F.concat(F.lit("about "), F.lower("acronym"), F.lit(" and "), "acronym", F.lit("x or about Zz")).alias("q"))
-    return extraction.expand_queries(asked, "ord", "q", dictionary)
+    own = dictionary.select((-F.col("ord") - 1).alias("query_id"), F.concat(F.lit("about "), F.lower("acronym"), F.lit(" and "), "acronym", F.lit("x or about Zz")).alias("query"))
+    return extraction.expand_queries(titles(spark, folder).unionByName(own), "query_id", "query", dictionary)
 
 
 # -- graph
@@ -399,7 +364,8 @@ def _seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, folder: str, hops: int) -> DataFrame:
-    seeds = _seeds(spark, folder).filter("ord = 0").select(F.concat(F.lit("section:"), "chunk_id").alias("seed")).distinct()
+    """Neighbourhoods of all ten seeds of each query."""
+    seeds = _seeds(spark, folder).select(F.concat(F.lit("section:"), "chunk_id").alias("seed")).distinct()
     steps = graph.walk(seeds, "seed", _edges(spark, folder), hops)
     return steps.groupBy("seed", "neighbour", "relation_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
@@ -414,23 +380,6 @@ def neighbors_2hop(spark: SparkSession, folder: str) -> DataFrame:
     return _neighbours(spark, folder, 2)
 
 
-def _all_neighbours(spark: SparkSession, folder: str, hops: int) -> DataFrame:
-    seeds = _seeds(spark, folder).select(F.concat(F.lit("section:"), "chunk_id").alias("seed")).distinct()
-    steps = graph.walk(seeds, "seed", _edges(spark, folder), hops)
-    return steps.groupBy("seed", "neighbour", "relation_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
-
-
-@query
-def seed_neighbors_1hop(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbourhoods of all ten seeds of a query; ``neighbors_1hop`` has those of the first."""
-    return _all_neighbours(spark, folder, 1)
-
-
-@query
-def seed_neighbors_2hop(spark: SparkSession, folder: str) -> DataFrame:
-    return _all_neighbours(spark, folder, 2)
-
-
 @query
 def graph_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = graph.graph_search(_seeds(spark, folder), _edges(spark, folder))
@@ -457,8 +406,10 @@ def delete_cascade(spark: SparkSession, folder: str) -> DataFrame:
     nodes = rows.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
     ids = _gone(spark, folder).select(F.concat(F.lit("section:"), "chunk_id").alias("node_id"))
     left, edges = graph.delete_nodes(nodes, rows, ids)
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(left, "nodes").crossJoin(count(edges, "edges"))
+    none = F.lit(None).cast("string")
+    return left.select(F.lit("node").alias("what"), F.col("node_id").alias("a"), none.alias("b"), none.alias("c")).unionByName(
+        edges.select(F.lit("edge").alias("what"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("relation_type").alias("c"))
+    )
 
 
 @query
@@ -476,28 +427,6 @@ def parent_edges(spark: SparkSession, folder: str) -> DataFrame:
 # -- files and index
 
 
-def _scan(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    """One row per path of a scan, the latest."""
-    rows = read(spark, folder, "files").filter((F.col("scan_id") == number) & F.col("file_path").isNotNull())
-    best = rows.groupBy("file_path").agg(F.max(F.struct("last_modified", F.lower("checksum").alias("c"))).alias("s"))
-    return best.select("file_path", F.col("s.c").alias("checksum"))
-
-
-@query
-def file_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.file_diff(_scan(spark, folder, 2), _scan(spark, folder, 1))
-
-
-@query
-def moved_files(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.moves(_scan(spark, folder, 5), _scan(spark, folder, 1))
-
-
-@query
-def removed_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.paths_to_remove(diff.file_diff(_scan(spark, folder, 3), _scan(spark, folder, 1)))
-
-
 def _scan_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Snapshots (scan_id, file_path, checksum) of all scans but the first, and of the scan before each."""
     rows = read(spark, folder, "files").filter("scan_id is not null and file_path is not null")
@@ -512,47 +441,202 @@ def _scan_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 
 @query
-def scan_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Every scan against the one before; ``file_diff`` and its two followers read one pair of scans."""
+def file_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scan against the one before."""
     return diff.file_diff(*_scan_pairs(spark, folder), ["scan_id"])
 
 
 @query
-def scan_moves(spark: SparkSession, folder: str) -> DataFrame:
+def moved_files(spark: SparkSession, folder: str) -> DataFrame:
     return diff.moves(*_scan_pairs(spark, folder), ["scan_id"])
 
 
 @query
-def scan_removed(spark: SparkSession, folder: str) -> DataFrame:
+def removed_paths(spark: SparkSession, folder: str) -> DataFrame:
     return diff.paths_to_remove(diff.file_diff(*_scan_pairs(spark, folder), ["scan_id"]), ["scan_id"])
 
 
-@query
-def index_stats(spark: SparkSession, folder: str) -> DataFrame:
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    edges = _edges(spark, folder)
-    entities = edges.select(F.explode(F.array("source_id", "target_id")).alias("n")).distinct().filter("n like 'entity:%'")
-    files = read(spark, folder, "files").select("file_path").distinct()
-    return count(files, "files").crossJoin(count(chunk_rows(spark, folder), "chunks")).crossJoin(count(entities, "entities")).crossJoin(count(edges, "edges"))
+def _latest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (chunk_id, embedding): the latest embedding of finite components of each chunk, of any length."""
+    vectors = read(spark, folder, "vectors").filter("chunk_id is not null and embedding is not null and forall(embedding, x -> not isnan(x) and abs(x) < float('inf'))")
+    latest = vectors.groupBy("chunk_id").agg(F.max(F.struct("embedded_at", "embedding")).alias("s"))
+    return latest.select("chunk_id", F.col("s.embedding").alias("embedding"))
+
+
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes that the edges name."""
+    ids = _edges(spark, folder).select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
+    return ids.select("node_id", graph.node_type(F.col("node_id")).alias("node_type"), F.lit("").alias("name"), F.expr("cast(map() as map<string,string>)").alias("properties"))
+
+
+def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per scan and path, the latest, all columns."""
+    rows = read(spark, folder, "files").filter("scan_id is not null and file_path is not null")
+    best = rows.groupBy("scan_id", "file_path").agg(F.max(F.struct("last_modified", F.lower("checksum").alias("checksum"), "title", "size_bytes")).alias("s"))
+    return best.select("scan_id", "file_path", "s.title", "s.last_modified", "s.size_bytes", "s.checksum")
 
 
 def _store(spark: SparkSession, folder: str) -> IndexStore:
     """An index over the given tables, in the scratch folder."""
     store = IndexStore(spark, scratch_path(spark, "index"))
-    store.replace("chunks", chunk_rows(spark, folder).filter("text is not null"))
-    vectors = read(spark, folder, "vectors").filter("chunk_id is not null and forall(embedding, x -> not isnan(x) and abs(x) < float('inf'))")
-    latest = vectors.filter("size(embedding) = 384").groupBy("chunk_id").agg(F.max(F.struct("embedded_at", "embedding")).alias("s"))
-    store.add_vectors(latest.select("chunk_id", F.col("s.embedding").alias("embedding")))
-    store.replace("edges", _edges(spark, folder))
+    with store.transaction():
+        store.upsert("chunks", read(spark, folder, "chunks").filter("text is not null"))
+        store.add_vectors(_latest_vectors(spark, folder))
+        store.replace("edges", _edges(spark, folder))
     return store
 
 
+@query
+def store_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors through the store: those of another dimension are left out, stored ones stay unless replaced."""
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    rows = _latest_vectors(spark, folder)
+    doubled = rows.select("chunk_id", F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    store.add_vectors(rows.filter("chunk_id < '8'"))
+    store.add_vectors(doubled.filter("chunk_id >= '4'"))
+    store.add_vectors(rows.filter("chunk_id >= 'c'"), replace=True)
+    store.delete("vectors", rows.filter("chunk_id >= 'e'").select("chunk_id"))
+    sums = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return store.read("vectors").select("chunk_id", F.size("embedding").alias("dim"), F.round(sums, 4).alias("total"))
+
+
+@query
+def store_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scan in turn upserted into the files of a store, with the paths that the last scan lacks deleted."""
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    rows = materialize(_snapshots(spark, folder), "snapshots")
+    scans = [r[0] for r in rows.select("scan_id").distinct().orderBy("scan_id").collect()]  # a row per scan
+    for scan in scans:
+        store.upsert("files", rows.filter(F.col("scan_id") == scan).drop("scan_id"))
+    if scans:
+        store.delete("files", store.read("files").join(rows.filter(F.col("scan_id") == scans[-1]), "file_path", "left_anti").select("file_path"))
+    return store.read("files").select("file_path", "title", "size_bytes", "checksum")
+
+
+@query
+def store_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks through the store: upserted twice, those of files that are gone deleted, ids by file."""
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    store.upsert("chunks", read(spark, folder, "chunks"))
+    store.upsert("chunks", chunk_rows(spark, folder).filter("level > 1"))
+    store.delete("chunks", _gone(spark, folder))
+    ids = store.chunk_ids_by_file()
+    return ids.select("file_path", F.array_join("chunk_ids", ",").alias("ids"))
+
+
+@query
+def store_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges and their provenance through the store: upserted in two halves of the log, provenance appended."""
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    log = read(spark, folder, "edges")
+    middle = log.agg(F.percentile_approx("edge_id", 0.5)).first()[0] or 0  # one row
+    provenance = read(spark, folder, "edge_provenance").filter("chunk_id is not null")
+    for half in (log.filter(F.col("edge_id") <= middle), log.filter(F.col("edge_id") > middle)):
+        store.upsert("edges", graph.upsert_edges(half, "edge_id"))
+        store.append_new("edge_provenance", provenance)
+    known = store.read("edge_provenance").groupBy(*graph.KEY).agg(F.count("*").alias("chunks"))
+    return store.read("edges").join(known, graph.KEY, "left").select(*graph.KEY, "weight", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@query
+def index_stats(spark: SparkSession, folder: str) -> DataFrame:
+    store = _store(spark, folder)
+    store.upsert("files", _snapshots(spark, folder).drop("scan_id"))
+    store.upsert("nodes", _nodes(spark, folder))
+    return store.statistics()
+
+
+@query
+def nodes_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """File nodes of every scan as a log of upserts: the name is the title of the last."""
+    rows = _snapshots(spark, folder)
+    log = rows.select(F.concat(F.lit("file:"), "file_path").alias("node_id"), F.lit("file").alias("node_type"), F.col("title").alias("name"), "scan_id")
+    return graph.upsert_nodes(log, "scan_id").select("node_id", "node_type", "name")
+
+
+def _built(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    """The graph of all chunks and the files of the last scan."""
+    rows = _snapshots(spark, folder)
+    last = rows.agg(F.max("scan_id").alias("scan_id"))
+    files = rows.join(F.broadcast(last), "scan_id").select("file_path", "title", "checksum", F.lit("").alias("content"))  # one row
+    return indexing.build_graph(chunk_rows(spark, folder).filter("text is not null"), files, None, None)
+
+
+@query
+def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return _built(spark, folder)[0].select("node_id", "node_type", "name", F.element_at("properties", "entity_type").alias("entity_type"), F.element_at("properties", "level").alias("level"))
+
+
+@query
+def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _built(spark, folder)[1]
+
+
+@query
+def heading_terms(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "documents").select("doc_id", F.posexplode(extraction.heading_terms(F.col("text"))).alias("i", "t"))
+    return rows.select("doc_id", "i", "t.name", "t.type", "t.source")
+
+
+def shape_entities(texts: list[str]) -> list[list[tuple[str, str]]]:
+    """A recogniser by shape, for the check of what is done with labels: capitalised words, labelled by their length."""
+    return [[(("PER", "ORG", "LOC", "XYZ")[len(w) % 4], w) for w in re.findall(r"[A-Z][a-z]+", t)] for t in texts]
+
+
+@query
+def named_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels mapped to kinds, kinds not allowed left out, distinct per chunk."""
+    found = models.named_entities(chunk_rows(spark, folder), "chunk_id", "text", shape_entities, ("person", "organization", "concept"))
+    return found.select("chunk_id", "type", "name")
+
+
+def length_scores(queries: list[str], texts: list[str]) -> list[float]:
+    """A reranker by length, for the check of what is done with scores."""
+    return [float(len(t) * 7 % 23 - 12) for t in texts]
+
+
+@query
+def rerank_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    """The pool of each query scored by a model over text and query, short texts scaled down, low scores left out, blended."""
+    fused = materialize(fusion.weighted_rrf(_lists(spark, folder).withColumn("weight", F.lit(1.0)), "query_id", "chunk_id"), "fused")
+    asked = fused.select("query_id").distinct().withColumn("query", F.lit("q"))
+    second = searching.rerank_pool(fused, asked, chunk_rows(spark, folder).select("chunk_id", "text"), length_scores, searching.Settings())
+    return fusion.blend(fused, second, "query_id", "chunk_id").select("query_id", "chunk_id", F.round("blended", 6).alias("blended"))
+
+
+def length_embedder(texts: list[str]) -> list[list[float]]:
+    """An embedder by length, for the check of what is done with vectors."""
+    return [[float(len(t) * (i + 1) % 97 - 48) for i in range(384)] for t in texts]
+
+
+def _search(spark: SparkSession, folder: str, mode: str, seed: str = "bm25") -> DataFrame:
+    found = searching.search(_store(spark, folder), titles(spark, folder), mode=mode, graph_seed=seed, embedder=length_embedder)
+    scores = [F.round(f"{e}_score", 5).alias(f"{e}_score") for e in ("fused", "semantic", "bm25", "graph")]
+    return found.select("query_id", "chunk_id", "place", "file_path", "heading_path", F.array_join("matched_engines", ",").alias("engines"), *scores)
+
+
+@query
+def search_semantic(spark: SparkSession, folder: str) -> DataFrame:
+    return _search(spark, folder, "semantic")
+
+
 @query
 def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return searching.search(_store(spark, folder), titles(spark, folder), mode="bm25").select("query_id", "chunk_id", "place", "snippet", F.round("fused_score", 6).alias("fused_score"))
+    return _search(spark, folder, "bm25")
+
+
+@query
+def search_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return _search(spark, folder, "graph")
 
 
 @query
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    found = searching.search(_store(spark, folder), titles(spark, folder), mode="hybrid")
-    return searching.format_results(found).select("query_id", "chunk_id", "place", F.array_join("matched_engines", ",").alias("engines"), "line")
+    return _search(spark, folder, "hybrid")
+
+
+@query
+def search_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Formatted results of the BM25 search, not reranked."""
+    found = searching.search(_store(spark, folder), titles(spark, folder), mode="bm25", rerank=False)
+    return searching.format_results(found).select("query_id", "place", "line")

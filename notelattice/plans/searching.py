@@ -47,6 +47,14 @@ def load_acronyms(store: IndexStore) -> DataFrame:
     return store.spark.createDataFrame([], ACRONYMS)
 
 
+def rerank_pool(fused: DataFrame, asked: DataFrame, texts: DataFrame, reranker: models.Reranker, settings: Settings) -> DataFrame:
+    """Rows (query_id, chunk_id, rerank): the model's scores of the pool of each query, scaled down for short texts, those above the threshold."""
+    pool = fusion.ranks(fused, ["query_id"], "score", "chunk_id").filter(F.col("rank") < settings.rerank_pool_size)
+    pairs = pool.join(asked.select("query_id", "query"), "query_id").join(texts.select("chunk_id", "text"), "chunk_id")
+    score = models.rerank_scores(F.col("query"), F.col("text"), reranker) * tx.length_penalty(F.col("text"), settings.reranker_min_length)
+    return pairs.select("query_id", "chunk_id", score.alias("rerank")).filter(F.col("rerank") > settings.reranker_score_threshold)
+
+
 def search(
     store: IndexStore,
     queries: DataFrame,
@@ -113,10 +121,7 @@ def search(
         if reranker is None:
             second = fusion.fallback_rerank(fused, "query_id", "chunk_id", settings.rerank_pool_size)
         else:
-            pool = fusion.ranks(fused, ["query_id"], "score", "chunk_id").filter(F.col("rank") < settings.rerank_pool_size)
-            pairs = pool.join(asked.select("query_id", "query"), "query_id").join(about.select("chunk_id", "text"), "chunk_id")
-            score = models.rerank_scores(F.col("query"), F.col("text"), reranker) * tx.length_penalty(F.col("text"), settings.reranker_min_length)
-            second = pairs.select("query_id", "chunk_id", score.alias("rerank")).filter(F.col("rerank") > settings.reranker_score_threshold)
+            second = rerank_pool(fused, asked, about, reranker, settings)
         final = fusion.blend(fused, second, "query_id", "chunk_id").withColumnRenamed("blended", "fused_score").join(fused.select("query_id", "chunk_id", "engines"), ["query_id", "chunk_id"], "left")
         # chunks that are gone are dropped before the best are taken
         final = final.join(chunks.select("chunk_id"), "chunk_id", "left_semi")

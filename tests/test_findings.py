@@ -7,14 +7,14 @@ from notelattice.plans.queries import QUERIES
 
 
 def test_acronyms_of_captured_texts(spark, tmp_path):
-    docs = "doc_id bigint, text string"
-    spark.createDataFrame([(1, "The Query Seed Expansion (QSE) is used."), (2, None)], docs).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = "doc_id bigint, text string, file_path string"
+    spark.createDataFrame([(1, "The Query Seed Expansion (QSE) is used.", "/a.md"), (2, None, "/b.md"), (20, "# On qse", "/c.md")], docs).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("c", "See RRT (Ranked Result Table) here.")] * 2, "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
-    rows = QUERIES["text_acronyms"](spark, str(tmp_path)).collect()
+    rows = QUERIES["acronyms"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, rows)) == [("chunk:c", "RRT", "Ranked Result Table"), ("document:1", "QSE", "The Query Seed Expansion")]
-    assert {r.acronym for r in QUERIES["text_acronym_dict"](spark, str(tmp_path)).collect()} == {"QSE", "RRT"}
-    expanded = [r.expanded for r in QUERIES["text_expand_query"](spark, str(tmp_path)).collect()]
-    assert any("qse The Query Seed Expansion" in e for e in expanded)
+    assert {r.acronym for r in QUERIES["acronym_dict"](spark, str(tmp_path)).collect()} == {"QSE", "RRT"}
+    expanded = [r.expanded for r in QUERIES["expand_query"](spark, str(tmp_path)).collect()]
+    assert any("qse The Query Seed Expansion" in e for e in expanded) and "On qse The Query Seed Expansion" in expanded
 
 
 def test_neighbours_of_every_seed(spark, tmp_path):
@@ -23,7 +23,7 @@ def test_neighbours_of_every_seed(spark, tmp_path):
     edges = [(i, f"section:c{i}", f"tag:t{i}", "HAS_TAG", 1.0) for i in range(12)]
     spark.createDataFrame(edges, "edge_id bigint, source_id string, target_id string, relation_type string, weight double").write.parquet(f"{tmp_path}/edges.parquet")
     for hops in (1, 2):
-        rows = QUERIES[f"seed_neighbors_{hops}hop"](spark, str(tmp_path)).collect()
+        rows = QUERIES[f"neighbors_{hops}hop"](spark, str(tmp_path)).collect()
         assert {r.seed for r in rows} == {f"section:c{i}" for i in range(10)}
 
 
@@ -32,9 +32,9 @@ def test_every_pair_of_scans(spark, tmp_path):
     rows = [(1, "a", at, "1"), (2, "a", at, "2"), (2, "b", at, "3"), (7, "c", at, "3"), (7, "a", at, "2")]
     spark.createDataFrame(rows, "scan_id int, file_path string, last_modified timestamp, checksum string").write.parquet(f"{tmp_path}/files.parquet")
     got = lambda name: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
-    assert got("scan_diff") == [(2, "a", "changed"), (2, "b", "new"), (7, "a", "unchanged"), (7, "b", "moved"), (7, "c", "new")]
-    assert got("scan_moves") == [(7, "b", "c")]
-    assert got("scan_removed") == [(2, "a"), (7, "b")]
+    assert got("file_diff") == [(2, "a", "changed"), (2, "b", "new"), (7, "a", "unchanged"), (7, "b", "moved"), (7, "c", "new")]
+    assert got("moved_files") == [(7, "b", "c")]
+    assert got("removed_paths") == [(2, "a"), (7, "b")]
 
 
 def test_a_failing_text_loses_only_itself(spark):

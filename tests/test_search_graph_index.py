@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from notelattice import schemas
 from notelattice.config import ReadOnlyError, Settings, load_env, load_settings
 from notelattice.functions import models
-from notelattice.operators import bm25, diff, fusion, graph, knn
+from notelattice.operators import bm25, counting, diff, fusion, graph, knn, skew
 from notelattice.plans.indexing import index_directory
 from notelattice.plans.searching import NoIndexError, search
 from notelattice.session import scratch_path
@@ -17,7 +17,7 @@ from notelattice.sources.markdown_dir import list_markdown, read_markdown
 from notelattice.sources.versions import ConcurrentWriteError
 
 
-def test_bm25(spark):
+def test_bm25(spark, monkeypatch):
     rows = spark.createDataFrame([("c1", "alpha beta beta"), ("c2", "gamma delta"), ("c3", None), ("c4", "the of")], "chunk_id string, text string")
     index = bm25.build_index(rows, "chunk_id", "text")
     q = spark.createDataFrame([(1, "alpha"), (2, "beta beta gamma"), (3, "the"), (4, None)], "query_id int, query string")
@@ -26,6 +26,9 @@ def test_bm25(spark):
     idf = np.log((4 - 1 + 0.5) / 1.5 + 1)
     tf = lambda n, length: n * 2.5 / (n + 1.5 * (0.25 + 0.75 * length / (5 / 4)))
     assert got[1, "c1"] == pytest.approx(idf * tf(1, 3)) and got[2, "c1"] == pytest.approx(2 * idf * tf(2, 3))
+    sliced = sorted(map(tuple, bm25.search(q, "query_id", "query", index, 5).collect()))
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 1)  # a slice for about each row
+    assert sorted(map(tuple, bm25.search(q, "query_id", "query", index, 5).collect())) == sliced
     empty = bm25.build_index(rows.limit(0), "chunk_id", "text")
     assert bm25.search(q, "query_id", "query", empty, 5).collect() == []
 
@@ -36,7 +39,7 @@ def test_knn(spark, block):
     x = r.integers(-2, 3, (60, 4)).astype(float)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None), (98, [1.0])], "k int, e array<double>")
     q = rows.filter("k % 20 = 0").select(F.col("k").alias("q"), F.col("e").alias("v"))
-    got = knn.nearest(q, "q", "v", rows, "k", "e", 5, 4, block=block).collect()
+    got = knn.nearest(q, "q", "v", rows, "k", "e", 5, 4, block=block, slice_=4 if block == 7 else knn.SLICE).collect()
     norm = np.linalg.norm(x, axis=1)
     for i in (0, 20, 40):
         s = [(-round(float(x[i] @ x[j] / (norm[i] * norm[j])) if norm[i] * norm[j] else 0.0, 9) + 0.0, j) for j in range(60)] + [(0.0, 98)]
@@ -92,6 +95,40 @@ def test_graph_search(spark, seed):
         assert {f"section:{g.chunk_id}": pytest.approx(g.score) for g in got if g.query_id == q} == want
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    hub = [("hub", f"n{i}", 1) for i in range(300)] + [("cold", "x", 2)]
+    right = spark.createDataFrame(hub, "node string, other string, v int")
+    left = spark.createDataFrame([("hub", "a"), ("hub", "b"), ("cold", "a"), ("none", "c")], "node string, s string")
+    got = sorted(map(tuple, skew.spread_join(left, right, "node", "other", split=40).select("s", "other", "v").collect()))
+    assert got == sorted([(s, o, v) for n, s in (("hub", "a"), ("hub", "b"), ("cold", "a")) for m, o, v in hub if m == n])
+    assert skew.spread_join(left, right.limit(0), "node", "other").collect() == []
+    rows = spark.createDataFrame([(f"t{i % 5}", i) for i in range(50)] + [("odd", 1)], "term string, k int")
+    corpus = spark.createDataFrame([(f"t{i}", 10 * i + 1) for i in range(5)], "term string, df bigint")
+    for keys in (100_000, 2, 0):
+        monkeypatch.setattr(skew, "HOT_KEYS", keys)
+        out = skew.with_frequency(rows, corpus, 50).collect()
+        assert sorted((r.k, r.term, r.df) for r in out if r.df) == sorted((i, f"t{i % 5}", 10 * (i % 5) + 1) for i in range(50)) and [r.k for r in out if r.df is None] == [1]
+    order = skew.numbered(rows.repartition(3), ["term", "k"], "at").collect()
+    assert [(r.term, r.k) for r in sorted(order, key=lambda r: r["at"])] == sorted((r.term, r.k) for r in rows.collect()) and sorted(r["at"] for r in order) == list(range(51))
+
+
+def test_counting_of_grams(spark, monkeypatch):
+    from collections import Counter
+
+    r = random.Random(3)
+    rows = [(i, None if i == 3 else [r.choice("abc") for _ in range(r.randint(0, 9))]) for i in range(40)] + [(0, ["a"])]
+    df = spark.createDataFrame(rows, "k int, w array<string>").coalesce(1)
+    for piece in (1_000_000, 10):
+        monkeypatch.setattr(counting, "PIECE", piece)
+        got = sorted((x.k, x.term, x.tf, x.first, x.len) for x in counting.count_terms(df, "k", F.col("w"), 3).collect())
+        want = []
+        for k, w in rows:
+            w = w or []
+            grams = [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+            want += [(k, t, n, grams.index(t), len(w)) for t, n in Counter(grams).items()]
+        assert got == sorted(want)
+
+
 def test_provenance(spark):
     e = "source_id string, target_id string, relation_type string"
     edges = spark.createDataFrame([("a", "b", "CO_OCCURS", 0.5), ("b", "c", "CO_OCCURS", 0.5), ("x", "y", "LINKS_TO", 1.0)], e + ", weight double")

@@ -67,38 +67,45 @@ def test_sections():
     assert list(md.parse_sections("")) == [(0, "", "", 0)]
 
 
-def slow_pack(path, body, most, overlap):
-    """The packing rule again, said with plain loops."""
-    est = lambda s: max(1, len(s) // 4)
-    full = f"{path}\n\n{body}" if path else body
-    if est(full) <= most:
-        return [full]
-    import re
-
-    out, cur, size = [], [], (est(path) + 10 if path else 0)
-    for s in [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-Z])", body) if x.strip()]:
-        if cur and size + est(s) > most:
-            out.append(cur)
-            keep, text = [], ""
-            for old in reversed(cur):
-                if est(text + old) > overlap:
-                    break
-                keep = [old, *keep]
-                text = " ".join(keep)
-            cur, size = keep, (est(path) + 10 if path else 0) + est(text)
-        cur = [*cur, s]
-        size += est(s)
-    if cur:
-        out.append(cur)
-    return [(f"{path}\n\n" if path else "") + " ".join(c) for c in out]
-
-
-def test_packing():
+def test_packing_by_properties():
+    """Each chunk is within its budget unless it is one sentence; an overlap is the longest that fits; nothing is lost."""
     r = random.Random(1)
+    size = md.tokens_of
     for _ in range(400):
-        body = " ".join("W" + "o" * r.randint(0, 60) + r.choice(".!?,") for _ in range(r.randint(0, 30)))
-        args = (r.choice(["", "A > B"]), body, r.randint(3, 60), r.randint(0, 30))
-        assert list(md.pack(*args)) == slow_pack(*args)
+        sentences = [f"W{i}" + "o" * r.randint(0, 60) + r.choice(".!?") for i in range(r.randint(1, 30))]
+        path, most, overlap = r.choice(["", "A > B"]), r.randint(3, 60), r.randint(0, 30)
+        got = list(md.pack(path, " ".join(sentences), most, overlap))
+        head = f"{path}\n\n" if path else ""
+        if size(head + " ".join(sentences)) <= most:
+            assert got == [head + " ".join(sentences)]
+            continue
+        lists = [g.removeprefix(head).split(" ") for g in got]
+        assert all(g.startswith(head) for g in got)
+        fixed = size(path) + 10 if path else 0
+        done = 0
+        for i, own in enumerate(lists):
+            first = sentences.index(own[0])
+            assert own == sentences[first : first + len(own)] and first <= done
+            repeated = done - first
+            if i:
+                assert not repeated or size("".join([" ".join(own[1:repeated]), own[0]]) if repeated > 1 else own[0]) <= overlap
+            fresh = own[repeated:]
+            assert fresh  # every chunk brings something new
+            budget = fixed + (size(" ".join(own[:repeated])) if repeated else 0)
+            assert len(own) == 1 or budget + sum(size(s) for s in fresh[:-1]) <= most or len(fresh) == 1
+            done = first + len(own)
+        assert done == len(sentences)
+
+
+def test_packing_by_hand():
+    body = "Aaa aaa. Bbb bbb. Ccc ccc. Ddd ddd."  # two tokens a sentence
+    assert list(md.pack("", body, 4, 0)) == ["Aaa aaa. Bbb bbb.", "Ccc ccc.", "Ddd ddd."]  # an empty overlap counts as a token
+    assert list(md.pack("", body, 5, 0)) == ["Aaa aaa. Bbb bbb.", "Ccc ccc. Ddd ddd."]
+    assert list(md.pack("", body, 4, 2)) == ["Aaa aaa. Bbb bbb.", "Bbb bbb. Ccc ccc.", "Ccc ccc. Ddd ddd."]
+    assert list(md.pack("", body, 8, 2)) == [body]
+    assert list(md.pack("P", "Aaa aaa. " * 3 + "Bbb.", 5, 0)) == ["P\n\nAaa aaa."] * 3 + ["P\n\nBbb."]
+    assert list(md.pack("", "no end of it " * 9, 5, 2)) == [("no end of it " * 9).strip()]
+    assert list(md.pack("", " " * 99, 5, 2)) == []
 
 
 def test_chunks(spark):
