@@ -37,6 +37,8 @@ class Settings:
     embedding_model: str = "hashing"
     ner_model: str = ""
     reranker_model: str = ""
+    stop_words_file: str = ""
+    skip_upper_file: str = ""
 
 
 def _parse(kind: str, raw: str, default):

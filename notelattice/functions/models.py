@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +23,26 @@ Embedder = Callable[[list[str]], list[list[float] | None]]
 Recogniser = Callable[[list[str]], list[list[tuple[str, str]]]]
 Reranker = Callable[[list[str], list[str]], list[float | None]]
 
+_HOOKS: dict[str, object] = {}
+
+
+def set_hook(kind: str, model: object) -> None:
+    """The model of a kind (``embedder``, ``recogniser`` or ``reranker``) where a call names none."""
+    if kind not in ("embedder", "recogniser", "reranker"):
+        raise ValueError(f"no hook of kind {kind}")
+    _HOOKS[kind] = model
+
+
+def get_hook(kind: str):
+    """The model set for a kind, or null."""
+    return _HOOKS.get(kind)
+
+
+def reset_hooks() -> None:
+    """Forget all models that were set."""
+    _HOOKS.clear()
+
+
 # Entity groups of common recognisers.
 LABELS = {
     "PER": "person", "PERSON": "person", "ORG": "organization", "ORGANIZATION": "organization", "LOC": "location", "LOCATION": "location", "MISC": "concept",
@@ -32,12 +53,16 @@ def hashing_embedder(dim: int = 384) -> Embedder:
     """Signed feature hashing of lower-cased words, of unit length; a text without words gives null."""
 
     def embed(texts: list[str]) -> list[list[float] | None]:
+        places: dict[str, tuple[int, float]] = {}  # each word of a batch is hashed once
         out: list[list[float] | None] = []
         for text in texts:
             v = [0.0] * dim
-            for word in re.findall(r"\w+", (text or "").lower()):
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
-                v[h % dim] += 1.0 if (h >> 62) & 1 else -1.0
+            for word, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
+                if word not in places:
+                    h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+                    places[word] = h % dim, 1.0 if (h >> 62) & 1 else -1.0
+                at, sign = places[word]
+                v[at] += sign * n
             norm = math.sqrt(sum(x * x for x in v))
             out.append([x / norm for x in v] if norm else None)
         return out

@@ -1,8 +1,8 @@
 """Noise words: a parameter of every operator that tokenises.
 
 The default is the common English stop word list below and, for acronyms in capitals, the same words in
-capitals plus a short list. A collection with a list of its own passes ``NoiseWords(stop, upper)`` or loads
-one from a file, one word per blank.
+capitals plus a short list. A collection with a list of its own passes ``NoiseWords(stop, upper)`` or names
+files in the settings, words separated by blanks.
 """
 
 from __future__ import annotations
@@ -45,3 +45,8 @@ class NoiseWords:
 
 
 DEFAULT = NoiseWords()
+
+
+def of_settings(stop_file: str, upper_file: str = "") -> NoiseWords:
+    """The lists of the files that the settings name, else the default."""
+    return NoiseWords.load(stop_file, upper_file or None) if stop_file else DEFAULT

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from notelattice.functions import text as tx
 
+# The patterns of headings, links, tags and frontmatter.
 HEADINGS = r"(?m)^(#{1,6})\s+([^\r\n]+)$"
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 MD_LINK = r"\[([^\]]+)\]\(([^)]+)\)"
@@ -209,11 +210,17 @@ def headings(content: Column) -> Column:
 
 
 def heading_parents(found: Column) -> Column:
-    """Array of (parent, child): for each heading the last one exactly one level up, unless a shallower one came between."""
+    """Array of (parent, child): for each heading the last one exactly one level up, unless a shallower one came between.
 
-    def pair(h: Column, i: Column) -> Column:
-        before = F.slice(found, 1, i)
-        up = F.filter(before, lambda x, j: (x["level"] == h["level"] - 1) & ~F.exists(F.slice(before, j + 2, F.size(before)), lambda y: y["level"] < x["level"]))
-        return F.struct(F.try_element_at(up, F.lit(-1))["text"].alias("parent"), h["text"].alias("child"))
+    One fold: of the headings before, those that no shallower or equal one followed are held, six at most.
+    """
+    none = F.expr("named_struct('s', cast(array() as array<struct<level:int,text:string>>), 'p', cast(array() as array<struct<parent:string,child:string>>))")
+
+    def step(state: Column, h: Column) -> Column:
+        above = F.filter(state["s"], lambda x: x["level"] < h["level"])
+        top = F.try_element_at(above, F.lit(-1))
+        pair = F.struct(top["text"].alias("parent"), h["text"].alias("child"))
+        pairs = F.when(top["level"] == h["level"] - 1, F.array_append(state["p"], pair)).otherwise(state["p"])
+        return F.struct(F.array_append(above, F.struct(h["level"].alias("level"), h["text"].alias("text"))).alias("s"), pairs.alias("p"))
 
-    return F.filter(F.transform(found, pair), lambda p: p["parent"].isNotNull())
+    return F.aggregate(found, none, step, lambda state: state["p"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from notelattice.config import Settings, assert_writable
 from notelattice.functions import models
-from notelattice.functions.noise import DEFAULT, NoiseWords
+from notelattice.functions.noise import NoiseWords, of_settings
 from notelattice.operators import bm25, diff, extraction, graph
 from notelattice.operators import markdown as md
 from notelattice.session import materialize, scratch_scope
@@ -95,16 +95,20 @@ def index_directory(
     depth: str | None = None,
     embedder: models.Embedder | None = None,
     recogniser: models.Recogniser | None = None,
-    noise: NoiseWords = DEFAULT,
+    noise: NoiseWords | None = None,
     progress=None,
 ) -> IndexingResult:
     """Bring an index up to date with a directory; files of the index that this walk does not see are removed.
 
     ``depth`` ``structural`` leaves out named entities and key terms. ``progress`` is called with the name of
     each phase. All tables change in one transaction: a run that dies leaves the index as it was, and the
-    next run finds the same files new, changed or gone.
+    next run finds the same files new, changed or gone. Models that are not passed are those of ``set_hook``, noise
+    words those of the settings.
     """
     assert_writable("index", store.settings)
+    own = store.settings
+    embedder, recogniser = embedder or models.get_hook("embedder"), recogniser or models.get_hook("recogniser")
+    noise = noise or of_settings(own.stop_words_file, own.skip_upper_file)
     with scratch_scope(), store.transaction():
         return _index(spark, store, root, exclude, rebuild, depth or store.settings.extract_depth, embedder, recogniser, noise, progress or (lambda phase: None))
 

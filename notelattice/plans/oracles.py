@@ -345,3 +345,23 @@ p AS (SELECT query_id, place, round(1 / (61.0::DOUBLE + place), 9) AS fused, arr
 SELECT query_id, place::INT AS place, concat((place + 1), '. ', CASE WHEN coalesce(head, '') = '' THEN 'Untitled' ELSE head END, ' (', printf('%.4f', fused), ', ', printf('%.1f', fused * 100), '%) ',
   replace(CASE WHEN pos IS NULL THEN text[1:300] ELSE {_trim('substring(text, greatest(0, pos - 151) + 1, 300)')} END, chr(10), ' ')) AS line FROM p""",
 }
+
+# chunks: the sections above; over-long ones are folded sentence by sentence, held sentences and their budget carried on
+_size = lambda x: f"greatest(1, length({x}) // 4)"
+ORACLES["md_chunks"] = (
+    ORACLES["md_sections"].split("SELECT doc_id, section::INT")[0].replace("WITH ls", "WITH RECURSIVE ls")
+    + rf""", sec AS (SELECT doc_id, section, level, array_to_string(list_filter(path, lambda x: x IS NOT NULL), ' > ') AS path, CASE WHEN last = 0 THEN {_trim('text')} ELSE body END AS body FROM p JOIN ls USING (doc_id)),
+hd AS (SELECT *, CASE WHEN path <> '' THEN path || chr(10) || chr(10) ELSE '' END AS head, CASE WHEN path <> '' THEN {_size('path')} + 10 ELSE 0 END AS fixed FROM sec),
+fold AS (
+  SELECT doc_id, section, fixed, list_filter(list_transform(string_split(regexp_replace(body, '([.!?]){_WS}+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {_trim('x')}), lambda x: x <> '') AS s,
+    0 AS i, []::VARCHAR[] AS held, fixed AS budget, NULL::VARCHAR AS emitted FROM hd WHERE {_size('head || body')} > 512
+  UNION ALL
+  SELECT doc_id, section, fixed, s, i + 1, CASE WHEN i = len(s) THEN [] WHEN over THEN list_append(kept, s[i + 1]) ELSE list_append(held, s[i + 1]) END,
+    CASE WHEN i = len(s) THEN 0 WHEN over THEN fixed + {_size("array_to_string(kept, ' ')")} + size ELSE budget + size END, CASE WHEN over OR (i = len(s) AND len(held) > 0) THEN array_to_string(held, ' ') END
+  FROM (SELECT *, held[len(held) - CASE WHEN list_contains(fits, false) THEN list_position(fits, false) - 1 ELSE len(held) END + 1 :] AS kept FROM (
+    SELECT *, {_size('s[i + 1]')} AS size, i < len(s) AND len(held) > 0 AND budget + {_size('s[i + 1]')} > 512 AS over,
+      list_transform(range(1, len(held) + 1), lambda n: greatest(1, (length(array_to_string(held[len(held) - n + 2 :], ' ')) + length(held[len(held) - n + 1])) // 4) <= 50) AS fits FROM fold WHERE i <= len(s)))),
+ck AS (SELECT doc_id, section, 0 AS i, head || body AS text FROM hd WHERE {_size('head || body')} <= 512 UNION ALL SELECT doc_id, section, i, head || emitted FROM fold JOIN hd USING (doc_id, section) WHERE emitted IS NOT NULL),
+ix AS (SELECT ck.doc_id::VARCHAR AS file_path, row_number() OVER (PARTITION BY ck.doc_id ORDER BY ck.section, ck.i) - 1 AS chunk_index, level, path, text FROM ck JOIN hd USING (doc_id, section))
+SELECT file_path, chunk_index::INT AS chunk_index, md5(file_path || ':' || chunk_index) AS chunk_id, level::INT AS level, path, md5(text) AS text FROM ix"""
+)

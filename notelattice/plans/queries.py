@@ -476,8 +476,11 @@ def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("scan_id", "file_path", "s.title", "s.last_modified", "s.size_bytes", "s.checksum")
 
 
+_STORES: dict[tuple[str, str], IndexStore] = {}
+
+
 def _store(spark: SparkSession, folder: str) -> IndexStore:
-    """An index over the given tables, in the scratch folder."""
+    """A new index over the given tables, in the scratch folder."""
     store = IndexStore(spark, scratch_path(spark, "index"))
     with store.transaction():
         store.upsert("chunks", read(spark, folder, "chunks").filter("text is not null"))
@@ -486,6 +489,14 @@ def _store(spark: SparkSession, folder: str) -> IndexStore:
     return store
 
 
+def _indexed(spark: SparkSession, folder: str) -> IndexStore:
+    """The index over the given tables, built once in a session, as an index is, and searched often."""
+    at = spark.sparkContext.applicationId, folder
+    if at not in _STORES or not _STORES[at].exists("chunks"):
+        _STORES[at] = _store(spark, folder)
+    return _STORES[at]
+
+
 @query
 def store_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors through the store: those of another dimension are left out, stored ones stay unless replaced."""
@@ -610,7 +621,7 @@ def length_embedder(texts: list[str]) -> list[list[float]]:
 
 
 def _search(spark: SparkSession, folder: str, mode: str, seed: str = "bm25") -> DataFrame:
-    found = searching.search(_store(spark, folder), titles(spark, folder), mode=mode, graph_seed=seed, embedder=length_embedder)
+    found = searching.search(_indexed(spark, folder), titles(spark, folder), mode=mode, graph_seed=seed, embedder=length_embedder)
     scores = [F.round(f"{e}_score", 5).alias(f"{e}_score") for e in ("fused", "semantic", "bm25", "graph")]
     return found.select("query_id", "chunk_id", "place", "file_path", "heading_path", F.array_join("matched_engines", ",").alias("engines"), *scores)
 
@@ -638,5 +649,5 @@ def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def search_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Formatted results of the BM25 search, not reranked."""
-    found = searching.search(_store(spark, folder), titles(spark, folder), mode="bm25", rerank=False)
+    found = searching.search(_indexed(spark, folder), titles(spark, folder), mode="bm25", rerank=False)
     return searching.format_results(found).select("query_id", "place", "line")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from notelattice.config import Settings
 from notelattice.functions import models
 from notelattice.functions import text as tx
-from notelattice.functions.noise import DEFAULT, NoiseWords
+from notelattice.functions.noise import DEFAULT, NoiseWords, of_settings
 from notelattice.operators import bm25, extraction, fusion, graph, knn
 from notelattice.schemas import ACRONYMS
 from notelattice.session import materialize
@@ -65,7 +65,7 @@ def search(
     graph_seed: str = "bm25",
     embedder: models.Embedder | None = None,
     reranker: models.Reranker | None = None,
-    noise: NoiseWords = DEFAULT,
+    noise: NoiseWords | None = None,
 ) -> DataFrame:
     """Results of queries (query_id, query): query_id, chunk_id, file_path, heading_path, snippet, fused_score,
     semantic_score, bm25_score, graph_score, matched_engines, place.
@@ -75,6 +75,8 @@ def search(
     if mode not in MODES or graph_seed not in SEEDS:
         raise ValueError(f"mode is one of {MODES}, graph_seed one of {SEEDS}")
     settings: Settings = store.settings
+    embedder, reranker = embedder or models.get_hook("embedder"), reranker or models.get_hook("reranker")
+    noise = noise or of_settings(settings.stop_words_file, settings.skip_upper_file)
     k = top_k or settings.default_top_k
     chunks = store.read("chunks")
     if chunks.isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notelattice import schemas
 from notelattice.config import ReadOnlyError, Settings, load_env, load_settings
-from notelattice.functions import models
+from notelattice.functions import models, noise
 from notelattice.operators import bm25, counting, diff, fusion, graph, knn, skew
 from notelattice.plans.indexing import index_directory
 from notelattice.plans.searching import NoIndexError, search
@@ -242,6 +242,19 @@ def test_models(spark):
     assert models.named_entities(df, "k", "t", None, ("person",)).collect() == []
 
 
+def test_hooks_and_noise_files(tmp_path):
+    model = lambda texts: [[1.0]] * len(texts)
+    models.set_hook("embedder", model)
+    assert models.get_hook("embedder") is model and models.get_hook("reranker") is None
+    models.reset_hooks()
+    assert models.get_hook("embedder") is None
+    with pytest.raises(ValueError):
+        models.set_hook("other", model)
+    (tmp_path / "stop").write_text("der die\ndas")
+    got = noise.of_settings(f"{tmp_path}/stop")
+    assert got.stop == ("das", "der", "die") and got.upper == ("DAS", "DER", "DIE") and noise.of_settings("") is noise.DEFAULT
+
+
 def test_settings(tmp_path):
     got = load_settings({"NOTELATTICE_DEFAULT_TOP_K": "7x", "NOTELATTICE_FUSION_K": "no", "NOTELATTICE_READ_ONLY": "TRUE", "NOTELATTICE_SEMANTIC_FLOOR": "0.25", "NOTELATTICE_NER_ENTITY_TYPES": "a, b"})
     assert (got.default_top_k, got.fusion_k, got.read_only, got.semantic_floor, got.ner_entity_types) == (7, 60, True, 0.25, ("a", "b"))
