@@ -3,7 +3,7 @@
 Each task accumulates occurrences and record counts in a burst trie: terms are routed by the
 shortest prefix whose container is still small, and a container that grows too large bursts into
 one container per next character. The containers are written as compact sub-tries. Cut points
-over the prefix weights of all tasks then divide the term space into ranges of similar size, the
+from a bounded sample of their entries then divide the term space into ranges of similar size, the
 matching pieces of the sub-tries meet by range, and each range is merged in one task's memory.
 
 A term is a maximal run of ``[a-z0-9_]`` in the lower-cased text. Defined results: null texts are
@@ -25,12 +25,16 @@ from pyspark.sql import types as T
 
 from notelattice.session import materialize
 
+from .records import texts
+
 #: Distinct suffixes a container holds before it bursts.
 BURST = 2_000
 #: Distinct terms a task holds before it writes its trie and starts another.
 TRIE_TERMS = 400_000
-#: Summed sub-trie entries that one merge range aims at, least and most.
-RANGE_LEAST, RANGE_MOST = 20_000, 400_000
+#: Summed sub-trie entries that one merge range aims at, least and most, unless there would be more than so many ranges.
+RANGE_LEAST, RANGE_MOST, RANGES = 20_000, 400_000, 10_000
+#: Sampled terms for each range.
+PER_RANGE = 20
 
 TERM = re.compile(r"[a-z0-9_]+")
 
@@ -123,29 +127,16 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_points(subtries: DataFrame, target: int) -> list[str]:
-    """Prefixes at which merge ranges begin.
+    """Terms at which merge ranges begin, about ``target`` entries apart.
 
-    Weights are gathered by prefix to a depth of 3, then deeper only below prefixes heavier than a
-    range; the alphabet has 37 characters, so each step returns a bounded number of rows.
+    They are every ``PER_RANGE``-th of a sample of the entries by hash, about ``PER_RANGE`` for each range. With at most ``RANGES``
+    ranges the sample is bounded at any size of the vocabulary, and equal prefixes of any length do no harm.
     """
-    weights: dict[str, int] = {}
-    heavy, depth = [""], 3
-    while heavy and depth <= 30:
-        own = subtries.filter(F.substring("prefix", 1, depth - 3).isin(heavy) if depth > 3 else F.col("prefix").isNotNull())
-        found = own.groupBy(F.substring("prefix", 1, depth).alias("p")).agg(F.sum(F.size("suffixes")).alias("n")).collect()
-        for p in heavy:
-            weights.pop(p, None)
-        fresh = {r["p"]: r["n"] for r in found}
-        weights |= fresh
-        heavy = [p for p, n in fresh.items() if n > target and len(p) == depth]
-        depth += 3
-    cuts, held = [], 0
-    for prefix in sorted(weights):
-        if held and held + weights[prefix] > target:
-            cuts.append(prefix)
-            held = 0
-        held += weights[prefix]
-    return cuts
+    share = min(1.0, PER_RANGE / target)
+    words = F.transform("suffixes", lambda s: F.concat(F.col("prefix"), s))
+    chosen = F.filter(words, lambda w: F.pmod(F.xxhash64(w, F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = sorted(r["w"] for r in subtries.filter("prefix is not null").select(F.explode(chosen).alias("w")).distinct().collect())
+    return sample[PER_RANGE - 1 :: PER_RANGE]
 
 
 def term_frequencies(df: DataFrame, key: str, text: str, common_share: float = 0.5, rare_records: int = 2) -> DataFrame:
@@ -155,15 +146,15 @@ def term_frequencies(df: DataFrame, key: str, text: str, common_share: float = 0
     than ``common_share`` of them, else null. A term that is both is ``rare``.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("k"), df[text].cast("string").alias("t")).filter("t is not null and k is not null")
-    records = rows.groupBy("k").agg(F.max("t").alias("t")).select("t")
+    rows = texts(df, key, text)
+    records = rows.select("t")
     subtries = materialize(records.mapInArrow(_accumulate, SUBTRIE), "subtries")
     total = subtries.agg(
         F.sum(F.when(F.col("prefix").isNull(), F.col("records")[0])).alias("n"), F.sum(F.size("suffixes")).alias("terms")
     ).first()
     n, terms = total["n"] or 0, total["terms"] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    target = min(RANGE_MOST, max(RANGE_LEAST, terms // (2 * parts) + 1))
+    target = max(min(RANGE_MOST, max(RANGE_LEAST, terms // (2 * parts) + 1)), terms // RANGES)
     cuts = _cut_points(subtries, target)
     spread = T.StructType([T.StructField("range", T.IntegerType()), *SUBTRIE.fields])
     counted = T.StructType([T.StructField("term", T.StringType()), T.StructField("count", T.LongType()), T.StructField("document_count", T.LongType())])
