@@ -1,10 +1,8 @@
 """How distinctive a term is of a record: term frequency times smoothed inverse document frequency.
 
-Distinct (term, record) counts are taken once and written; document frequencies come from them
-and are joined back. Terms in at least 1 of ``HOT_SHARE`` records are at most ``HOT_SHARE`` times the
-mean number of distinct terms per record, whatever the size of the collection, so their
-frequencies are broadcast (behind a check of their number); all other terms meet by shuffle, and
-none of these has more than 1 / ``HOT_SHARE`` of the records.
+Distinct (term, record) counts are taken where the record lies and written once; document frequencies come from them
+and are joined back: those of hot terms by broadcast, all others by shuffle, where no term has more
+than a fixed share of the records (``with_frequency``).
 
 A term is a maximal run of ``[a-z0-9_]`` in the lower-cased text. Defined results: null texts are
 no record, a record without terms counts in N and has no rows, repeated rows of a key are one
@@ -16,13 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelattice.operators.counting import count_terms
+from notelattice.operators.skew import with_frequency
 from notelattice.session import materialize
 
-#: Frequencies of terms in at least 1 of so many records are broadcast.
-HOT_SHARE = 256
-#: Broadcast rows at most; beyond them these terms are shuffled as well.
-HOT_ROWS = 200_000
-
+from .records import texts
 
 def term_scores(df: DataFrame, key: str, text: str, length_norm: bool = True, slope: float = 0.75, k1: float = 1.5) -> DataFrame:
     """Rows (key, term, tf, df, n, len, score) for every term of every record.
@@ -30,22 +26,13 @@ def term_scores(df: DataFrame, key: str, text: str, length_norm: bool = True, sl
     The score is ``tf * ln((n - df + 0.5) / (df + 0.5) + 1)``; with length normalisation ``tf``
     is replaced by ``tf * (k1 + 1) / (tf + k1 * (1 - slope + slope * len / mean len))``.
     """
-    rows = df.select(F.col(key).alias("k"), df[text].cast("string").alias("t")).filter("t is not null and k is not null")
-    records = rows.groupBy("k").agg(F.max("t").alias("t"))
-    words = records.select("k", F.regexp_extract_all(F.lower("t"), F.lit("[a-z0-9_]+"), F.lit(0)).alias("w"))
-    tokens = words.select("k", F.size("w").alias("len"), F.explode("w").alias("term"))
-    # partitioned by k already: counting by (k, term) needs no further shuffle
-    postings = materialize(tokens.groupBy("k", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
-    n = rows.select("k").distinct().count()
+    rows = texts(df, key, text)
+    words = F.regexp_extract_all(F.lower("t"), F.lit("[a-z0-9_]+"), F.lit(0))
+    postings = materialize(count_terms(rows, "k", words).select("k", "term", "tf", "len"), "postings")
+    n = rows.count()
     mean = postings.agg((F.sum("tf") / F.lit(max(n, 1))).alias("m")).first()["m"] or 1.0
-    df_all = postings.groupBy("term").agg(F.count("*").alias("df"))
-    hot = df_all.filter(F.col("df") * HOT_SHARE >= n)
-    if hot.count() > HOT_ROWS:
-        joined = postings.join(df_all, "term")
-    else:
-        marked = postings.join(F.broadcast(hot), "term", "left")
-        cold = postings.join(F.broadcast(hot), "term", "left_anti").join(df_all.filter(F.col("df") * HOT_SHARE < n), "term")
-        joined = marked.filter("df is not null").unionByName(cold)
+    frequencies = materialize(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    joined = with_frequency(postings, frequencies, n)
     tf: Column = F.col("tf")
     if length_norm:
         tf = tf * (k1 + 1) / (tf + k1 * (1 - slope + slope * F.col("len") / F.lit(float(mean))))
