@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from notelattice.llm import distinctive, frequency, together
+from notelattice.llm import distinctive, frequency, records, together
+from notelattice.operators import skew
 
 
 def docs_of(rows):
@@ -51,6 +52,14 @@ def test_frequencies_over_many_ranges(spark, rows, monkeypatch):
     assert {r.term: (r["count"], r.document_count) for r in got} == {t: (count[t], df[t]) for t in count}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_one_text_of_each_key(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(records, "REPEATED", most)
+    table = spark.createDataFrame([(k, t, 1) for k, t in rows], "chunk_id string, text string, k int")
+    got = [(r.k, r.t) for r in records.texts(table, "chunk_id", "text").collect()]
+    assert len(got) == len(dict(got)) and dict(got) == docs_of(rows)
+
+
 def test_trie_bursts():
     trie = frequency.BurstTrie(burst=3)
     terms = [f"prefix{i}" for i in range(50)] + ["prefix", "p", "", "zeta"]
@@ -70,9 +79,9 @@ def test_empty(spark):
     assert together.gram_matrix(spark.createDataFrame([], "r string, i string"), "r", "i").collect() == []
 
 
-@pytest.mark.parametrize("hot_rows", [200_000, -1])
-def test_distinctive(spark, rows, monkeypatch, hot_rows):
-    monkeypatch.setattr(distinctive, "HOT_ROWS", hot_rows)
+@pytest.mark.parametrize("hot_keys", [100_000, 3, 0])
+def test_distinctive(spark, rows, monkeypatch, hot_keys):
+    monkeypatch.setattr(skew, "HOT_KEYS", hot_keys)
     docs, _, df = brute(rows)
     n = len(docs)
     want = {}
@@ -101,16 +110,20 @@ def gram(rows):
 
 
 @pytest.mark.parametrize("wide", [512, 4])
-def test_gram(spark, rng, wide):
+def test_gram(spark, rng, wide, monkeypatch):
+    monkeypatch.setattr(together, "WIDE", wide)
     rows = [(rng.choice([*range(40), 0, 0, 0]), f"i{rng.randint(0, 60)}") for _ in range(900)]
     rows += rows[:50] + [(None, "x"), (1, None)]
     df = spark.createDataFrame([(r, i, "q", 1) for r, i in rows], "rec int, item string, left string, r int")
-    got = together.gram_matrix(df, "rec", "item", wide).collect()
+    got = together.gram_matrix(df, "rec", "item").collect()
     assert {(r.a, r.b): r.n_ab for r in got} == dict(gram(rows))
 
 
-def test_ties(spark, rng):
+@pytest.mark.parametrize("wide", [512, 8])
+def test_ties(spark, rng, wide, monkeypatch):
+    monkeypatch.setattr(together, "WIDE", wide)
     rows = [(rng.choice([None, *range(15), 0, 0, 0]), f"n{rng.randint(0, 9)}", rng.choice([None, *[f"n{i}" for i in range(9)]])) for _ in range(600)]
+    rows += [(c, x, y) for c in (20, 21, 22) for x in ("n1", "n2", "n3", "n4") for y in ("n1", "n2", "n3", "n4")]  # all pairs tied
     clean = {(c, min(a, b), max(a, b)) for c, a, b in rows if c is not None and b is not None and a != b}
     n_ab = Counter((a, b) for _, a, b in clean)
     n = Counter(i for i, _ in {(x, c) for c, a, b in clean for x in (a, b)})
