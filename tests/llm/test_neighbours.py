@@ -85,3 +85,27 @@ def test_two_levels_and_tables():
 def test_tiny(spark, n):
     df = spark.createDataFrame([(f"k{i}", [1.0 + i, 2.0, 3.0], None) for i in range(n)], "chunk_id string, embedding array<float>, embedded_at timestamp")
     assert nb.nearest_neighbours(df, "chunk_id", "embedding", "embedded_at", 3, 5).count() == (2 if n == 2 else 0)
+
+
+@pytest.mark.parametrize("crowd", [8192, 150])
+def test_crowded_cells_are_cut_again(spark, monkeypatch, crowd):
+    """Recall of the true five nearest, with cells of their own and cut once more."""
+    monkeypatch.setattr(nb, "CROWD", crowd)
+    monkeypatch.setattr(nb, "FINE", 64)
+    monkeypatch.setattr(nb, "CELL", 512)
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(200, DIM))
+    x = (centres[r.integers(0, 200, 4000)] + r.normal(size=(4000, DIM)) * 0.2).astype(np.float32)
+    names = [f"k{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([(n, v.tolist(), None) for n, v in zip(names, x)], "chunk_id string, embedding array<float>, embedded_at timestamp")
+    got = {}
+    for row in nb.nearest_neighbours(df, "chunk_id", "embedding", "embedded_at", DIM, 5).collect():
+        got.setdefault(row.chunk_id, set()).add(row.neighbour)
+    assert all(len(v) == 5 for v in got.values())
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -9)
+    best = np.argsort(-s, axis=1)[:, :5]
+    hits = sum(len(got[n] & {names[j] for j in best[i]}) for i, n in enumerate(names))
+    print("recall", hits / (5 * len(x)))
+    assert hits >= 0.97 * 5 * len(x)
