@@ -26,36 +26,51 @@ from pyspark.sql import functions as F
 from notelattice.session import materialize
 
 from .bpe import count_tokens
+from .records import spread
 
-#: Documents in a block of a flight.
-BLOCK = 5_000
+#: Documents in a block of a flight, and in a lane of it at least.
+BLOCK, LANE = 5_000, 24
 _NEAR = 1e-9
 
 
+def _step(q: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """One step of each row of three open probabilities, along the vector orthogonal to their sizes and to (1, 1, 1)."""
+    a, b, c = size.T
+    v = np.stack([b - c, c - a, a - b], axis=1)
+    v[~(np.abs(v) > 1e-12).any(axis=1)] = (1.0, -1.0, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(v > 0, (1 - q) / v, np.where(v < 0, -q / v, np.inf)).min(axis=1)
+        down = np.where(v > 0, q / v, np.where(v < 0, (q - 1) / v, np.inf)).min(axis=1)
+    return np.clip(q + np.where(draw * (up + down) < down, up, -down)[:, None] * v, 0, 1)
+
+
+def _is_open(p: np.ndarray) -> np.ndarray:
+    return (p > _NEAR) & (p < 1 - _NEAR)
+
+
 def flight(chance: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move probabilities within the null space of (size total, count total) until at most two are open."""
+    """Move probabilities within the null space of (size total, count total) until at most two are open.
+
+    The open documents fly in lanes, one step of every lane at a time; what the lanes leave open flies on in fewer lanes.
+    """
     p = chance.astype(float).copy()
-    queue = np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR)).tolist()
-    scale = max(float(sizes.max(initial=0)), 1.0)
-    window: list[int] = []
-    at = 0
+    scaled = sizes / max(float(sizes.max(initial=0)), 1.0)
     while True:
-        while len(window) < 3 and at < len(queue):
-            window.append(queue[at])
-            at += 1
-        if len(window) < 3:
+        queue = np.flatnonzero(_is_open(p))
+        if len(queue) < 3:
             return np.where(p < _NEAR, 0.0, np.where(p > 1 - _NEAR, 1.0, p))
-        a, b, c = (sizes[i] / scale for i in window)
-        v = np.array([b - c, c - a, a - b])  # orthogonal to the sizes and to (1, 1, 1)
-        if not np.any(np.abs(v) > 1e-12):
-            v = np.array([1.0, -1.0, 0.0])
-        q = p[window]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.min(np.where(v > 0, (1 - q) / v, np.where(v < 0, -q / v, np.inf)))
-            down = np.min(np.where(v > 0, q / v, np.where(v < 0, (q - 1) / v, np.inf)))
-        q = q + up * v if rng.random() * (up + down) < down else q - down * v
-        p[window] = np.clip(q, 0, 1)
-        window = [i for i in window if _NEAR < p[i] < 1 - _NEAR]
+        lanes = max(1, len(queue) // LANE)
+        bounds = np.linspace(0, len(queue), lanes + 1).astype(int)
+        window, at, end = queue[bounds[:-1, None] + np.arange(3)], bounds[:-1] + 3, bounds[1:]
+        while len(window):
+            moved = _step(p[window], scaled[window], rng.random(len(window)))
+            p[window] = moved
+            for j in range(3):
+                fresh = ~_is_open(moved[:, j]) & (at < end)
+                window[fresh, j] = queue[at[fresh]]
+                at = at + fresh
+            going = _is_open(p[window]).all(axis=1)
+            window, at, end = window[going], at[going], end[going]
 
 
 def landing(chance: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -75,7 +90,7 @@ def _clean(name: str):
 
 def source_sizes(documents: DataFrame, targets: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Rows (key, source, size) of the documents of listed sources, written once: the encoding is the dear part."""
-    rows = documents.select(F.col(key).alias("k"), _clean(source).alias("source"), F.col(text).cast("string").alias("t"))
+    rows = spread(documents.select(key, source, text)).select(F.col(key).alias("k"), _clean(source).alias("source"), F.col(text).cast("string").alias("t"))
     names = targets.select(_clean("source").alias("source")).distinct()
     kept = rows.join(F.broadcast(names), "source", "left_semi")  # mix_targets has a row per source: fixed and small
     return materialize(count_tokens(kept.select("k", "source", "t"), ["k", "source"], "t", vocabulary, "size"), "sizes")
@@ -116,10 +131,13 @@ def draw(sized: DataFrame, planned: DataFrame, seed: int = 42, block: int = BLOC
         return run
 
     most = max(counts.values(), default=0)
+    parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     settled = None
     while True:
         last = most <= block
-        flown = rows.groupBy("source", "b").applyInArrow(fly(last), schema)
+        # a task for each block, as far as there are so many: blocks are small in bytes and would be joined
+        blocks = sum(-(-min(n, most) // block) for n in counts.values()) or 1
+        flown = rows.repartition(min(blocks, parts), "source", "b").groupBy("source", "b").applyInArrow(fly(last), schema)
         if last:
             out = flown if settled is None else settled.unionByName(flown)
             return out.select("k", "source", "size", (F.col("whole") + F.round("chance").cast("long")).alias("uses"))
@@ -131,10 +149,14 @@ def draw(sized: DataFrame, planned: DataFrame, seed: int = 42, block: int = BLOC
 
 
 def report(planned: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The plan with what was reached: tokens and documents with repeats, share of T and share of the mix."""
+    """The plan with what was reached: tokens and documents with repeats, share of T and share of the mix.
+
+    ``exhausted``: the draw stays below what is wanted although every document is used as often as allowed.
+    """
     got = drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("tokens"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
     rows = planned.join(got, "source", "left").fillna(0, ["tokens", "uses", "most_uses"])
     mix = got.agg(F.sum("tokens").alias("mix"))
+    exhausted = (F.col("tokens") < F.col("wanted")) & (F.col("tokens") == F.col("max_repeats") * F.col("size"))
     return rows.crossJoin(F.broadcast(mix)).select(
-        "*", (F.col("tokens") / F.nullif("total", F.lit(0))).alias("reached_share"), (F.col("tokens") / F.nullif("mix", F.lit(0))).alias("mix_share")
+        "*", exhausted.alias("exhausted"), (F.col("tokens") / F.nullif("total", F.lit(0))).alias("reached_share"), (F.col("tokens") / F.nullif("mix", F.lit(0))).alias("mix_share")
     )

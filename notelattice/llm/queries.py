@@ -102,7 +102,7 @@ def _mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _mix(spark, folder).filter("short").select("source")
+    return _mix(spark, folder).filter("exhausted").select("source")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_mix(spark, block):
     for s, share, most in (("big", 0.5, 1), ("small", 0.3, 3), ("tiny", 0.15, 1), ("absent", 0.05, 4)):
         r = out[s]
         assert r.total == total and r.most_uses <= most
-        assert r.short == (most * r.size < share * total)
+        assert r.short == r.exhausted == (most * r.size < share * total)
         assert abs(r.tokens - min(share * total, most * r.size)) <= biggest
     assert out["absent"].short and out["absent"].tokens == 0 and out["absent"].size == 0
     assert drawn.count() == sized.count() == drawn.select("k").distinct().count()
