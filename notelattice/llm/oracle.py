@@ -61,4 +61,10 @@ SELECT q AS query_id, c AS chunk_id FROM val QUALIFY row_number() OVER (PARTITIO
   FROM last LEFT JOIN (SELECT q, c, e, round((n - i)::DOUBLE / n, 9) AS x FROM num) USING (q, c) GROUP BY q, c),
 l AS (SELECT q, c, list_sort([p0, p1, p2]) AS x FROM p)
 SELECT q AS query_id, c AS chunk_id, row_number() OVER (PARTITION BY q ORDER BY x[1] DESC, x[2] DESC, x[3] DESC, c)::INT AS place FROM l""",
+        "p10_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 5], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1),
+words AS (SELECT DISTINCT doc_id, unnest(range(i, i + 6)) AS j FROM again)
+SELECT doc_id FROM words JOIN d USING (doc_id) GROUP BY doc_id HAVING 10 * count(*) >= 3 * max(len(w))""",
     }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, distinctive, frequency, markup, mixture, neighbours, ranking, repetition, together
+from . import bpe, distinctive, frequency, markup, mixture, neighbours, ranking, records, repetition, together
 
 #: Folder of the public vocabulary files; a parameter of the queries that encode.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -56,12 +56,12 @@ def p3_baskets(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     # repeated rows are equal in every column, so a row per chunk_id is each text once
-    chunks = _read(spark, folder, "chunks").select("chunk_id", "text").filter("text is not null").groupBy("chunk_id").agg(F.max("text").alias("text"))
-    return markup.clean_markup(chunks, "chunk_id", "text").select("chunk_id", F.explode("kinds").alias("markup"))
+    chunks = records.texts(_read(spark, folder, "chunks"), "chunk_id", "text")
+    return markup.clean_markup(chunks, "k", "t").select(F.col("k").alias("chunk_id"), F.explode("kinds").alias("markup"))
 
 
 def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return markup.clean_markup(_read(spark, folder, "chunks"), "chunk_id", "text").select("chunk_id", "text", "outside")
+    return markup.clean_markup(records.spread(_read(spark, folder, "chunks")), "chunk_id", "text").select("chunk_id", "text", "outside")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +91,7 @@ def p7_leximin(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode_texts(_read(spark, folder, "documents"), "doc_id", "text", vocabulary())
+    return bpe.encode_texts(records.spread(_read(spark, folder, "documents")), "doc_id", "text", vocabulary())
 
 
 def _mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +110,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    measured = repetition.repetition(_read(spark, folder, "documents"), ["doc_id"], "text")
+    measured = repetition.repetition(records.spread(_read(spark, folder, "documents")), ["doc_id"], "text")
     return measured.filter("words > 0 and 10 * repeated >= 3 * words").select("doc_id")
 
 
