@@ -4,8 +4,8 @@
 ``run`` words that also start earlier in the text, and the shares of repeated lines, sentences and
 word pairs. ``outliers`` rejects documents by robust multivariate distance: per language and
 source a minimum-covariance-determinant estimate of centre and scatter of the transformed statistics is
-reached by concentration steps over all documents of the group (each step an aggregation), and
-documents beyond a chi-square quantile of the Mahalanobis distance are marked.
+reached by concentration steps over all documents of the group (each step an aggregation), from several starts of which
+the one of least determinant counts, and documents beyond a chi-square quantile of the Mahalanobis distance are marked.
 
 Words are maximal runs of Unicode letters and digits of the lower-cased text. Defined results: a
 text without words (null, empty, blank) has the shares 0; documents of a group too small for an
@@ -90,9 +90,9 @@ def _moments(rows: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
 
 
 def _estimates(moments: DataFrame, groups: list[str], d: int, least: int) -> DataFrame:
-    """Centre and inverse scatter of each group; groups without an estimate are left out."""
-    kinds = [moments.schema[g] for g in groups]
-    schema = T.StructType([*kinds, T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])
+    """Centre, inverse and log determinant of the scatter of each group; groups without an estimate are left out."""
+    doubles = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*(moments.schema[g] for g in groups), T.StructField("centre", doubles), T.StructField("inverse", doubles), T.StructField("determinant", T.DoubleType())])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +104,10 @@ def _estimates(moments: DataFrame, groups: list[str], d: int, least: int) -> Dat
                 centre = np.array([r[f"s{i}"] for i in range(d)]) / n
                 scatter = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / n - np.outer(centre, centre)
                 scatter += np.eye(d) * 1e-6
-                rows.append((*[r[g] for g in groups], centre.tolist(), np.linalg.inv(scatter).ravel().tolist()))
+                rows.append((*[r[g] for g in groups], centre.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])))
             columns = list(zip(*rows)) if rows else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*(pa.string() for _ in groups), pa.list_(pa.float64()), pa.list_(pa.float64())])], names=schema.fieldNames())
+            kinds = [*(batch.schema.field(g).type for g in groups), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=schema.fieldNames())
 
     return moments.mapInArrow(solve, schema)
 
@@ -114,19 +115,23 @@ def _estimates(moments: DataFrame, groups: list[str], d: int, least: int) -> Dat
 def _levels(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """Rows (*by, centre, inverse, level) of the groups large enough for an estimate."""
     d = len(names)
-    # start: the documents nearest the coordinate-wise median
+    # starts: the documents nearest the coordinate-wise median by sum and by largest gap, those of the least sum, and by hash
     middle = rows.groupBy(*by).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(names)])
-    gap = sum((F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(names)), F.lit(0.0))
-    far = rows.join(middle, by).withColumn("d2", gap).select(*rows.columns, "d2")
+    gaps = [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(names)]
+    begins = F.array(sum(gaps, F.lit(0.0)), F.greatest(*gaps), sum((F.col(x) for x in names), F.lit(0.0)), F.pmod(F.xxhash64("k"), F.lit(1 << 20)).cast("double"))
+    far = rows.join(middle, by).select(*rows.columns, F.posexplode(begins).alias("start", "d2"))
+    each = [*by, "start"]
     for _ in range(STEPS):
-        cut = far.groupBy(*by).agg(F.percentile_approx("d2", HALF, 1000).alias("cut"))
-        kept = far.join(cut, by).filter("d2 <= cut")
-        estimates = materialize(_estimates(_moments(kept, by, names), by, d, int(GROUP_LEAST * HALF)), "estimate")  # a row per group
-        far = rows.join(estimates, by).withColumn("d2", _squared(names)).select(*rows.columns, "d2")
+        cut = far.groupBy(*each).agg(F.percentile_approx("d2", HALF, 1000).alias("cut"))
+        kept = far.join(cut, each).filter("d2 <= cut")
+        estimates = materialize(_estimates(_moments(kept, each, names), each, d, int(GROUP_LEAST * HALF)), "estimate")  # a row per group and start
+        far = rows.join(estimates, by).withColumn("d2", _squared(names)).select(*rows.columns, "start", "d2")
+    best = materialize(estimates.groupBy(*by).agg(F.min_by(F.struct("centre", "inverse"), F.struct("determinant", "start")).alias("e")).select(*by, "e.*"), "estimate")
     # median of chi-square with d degrees of freedom, by the Wilson-Hilferty rule
     expected = d * (1 - 2 / (9 * d)) ** 3
-    level = far.groupBy(*by).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / expected, F.lit(1.0)).alias("level"))
-    return estimates.join(level, by)
+    judged = rows.join(best, by).withColumn("d2", _squared(names))
+    level = judged.groupBy(*by).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / expected, F.lit(1.0)).alias("level"))
+    return best.join(level, by)
 
 
 def _squared(names: list[str]) -> Column:
