@@ -168,7 +168,7 @@ def _index(spark: SparkSession, store: IndexStore, root: str, exclude, rebuild:
     dictionary = extraction.acronym_dictionary(every.withColumn("at", F.struct("file_path", "chunk_index", "chunk_id")), "at", "text", noise)
     store.replace("acronyms", dictionary)
     index = bm25.build_index(every, "chunk_id", "text", noise)
-    for name, rows in (("postings", index.postings), ("lengths", index.lengths), ("idf", index.idf)):
+    for name, rows in (("postings", index.packed), ("idf", index.idf)):
         store.replace(name, rows)
     stats = store.statistics().select("total_files", "total_chunks", "total_entities", "total_edges", F.current_timestamp().alias("last_indexed"))
     store.replace("stats", stats)

@@ -30,13 +30,13 @@ def _list(scored: DataFrame, engine: str, idx: int) -> DataFrame:
 
 def load_bm25(store: IndexStore, noise: NoiseWords = DEFAULT) -> bm25.Bm25Index:
     """The stored inverted index; rebuilt from the chunks (and stored, unless read-only) if it is missing or unreadable."""
-    if all(store.readable(t) for t in ("postings", "lengths", "idf")):
-        return bm25.Bm25Index(store.read("postings"), store.read("lengths"), store.read("idf"))
+    if all(store.readable(t) for t in ("postings", "idf")):
+        return bm25.Bm25Index(store.read("postings"), store.read("idf"))
     index = bm25.build_index(store.read("chunks"), "chunk_id", "text", noise)
     if not store.settings.read_only:
         with store.transaction():
-            for name in ("postings", "lengths", "idf"):
-                store.replace(name, getattr(index, name))
+            store.replace("postings", index.packed)
+            store.replace("idf", index.idf)
     return index
 
 

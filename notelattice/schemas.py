@@ -6,12 +6,11 @@ NODES = "node_id string, node_type string, name string, properties map<string,st
 EDGES = "source_id string, target_id string, relation_type string, weight double"
 PROVENANCE = "source_id string, target_id string, relation_type string, chunk_id string"
 VECTORS = "chunk_id string, embedding array<float>"
-POSTINGS = "term string, chunk_id string, tf bigint"
-LENGTHS = "chunk_id string, len bigint"
+POSTINGS = "chunk_id string, terms array<string>, tfs array<bigint>, len bigint"
 IDF = "term string, df bigint, idf double"
 ACRONYMS = "acronym string, expansion string, ord bigint"
 STATS = "total_files bigint, total_chunks bigint, total_entities bigint, total_edges bigint, last_indexed timestamp"
 TABLES = {
     "chunks": CHUNKS, "files": FILES, "nodes": NODES, "edges": EDGES, "edge_provenance": PROVENANCE, "vectors": VECTORS,
-    "postings": POSTINGS, "lengths": LENGTHS, "idf": IDF, "acronyms": ACRONYMS, "stats": STATS,
+    "postings": POSTINGS, "idf": IDF, "acronyms": ACRONYMS, "stats": STATS,
 }

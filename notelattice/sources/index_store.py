@@ -57,9 +57,10 @@ class IndexStore:
         return self._folder(table) is not None
 
     def readable(self, table: str) -> bool:
-        """Whether a table is there and each of its files has a readable footer."""
+        """Whether a table is there, has the columns of today and each of its files a readable footer."""
         try:
-            return self.exists(table) and self.read(table).count() >= 0
+            folder = self._folder(table)
+            return folder is not None and set(self.read(table).columns) <= set(self.spark.read.parquet(folder).columns) and self.read(table).count() >= 0
         except Exception:  # noqa: BLE001 - whatever makes it unreadable
             return False
 
