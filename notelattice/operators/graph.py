@@ -7,12 +7,19 @@ bounded by nodes, not by paths.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from notelattice.operators.skew import spread_join
+from notelattice.operators.skew import numbered, spread_join
 from notelattice.session import materialize
 
+#: More than rounding to nine digits moves a value of a rank.
+SLACK = 1e-8
 KEY = ["source_id", "target_id", "relation_type"]
 
 
@@ -80,26 +87,32 @@ def walk(seeds: DataFrame, seed: str, edges: DataFrame, hops: int) -> DataFrame:
     return (out if out is not None else empty).withColumnRenamed("s", "seed")
 
 
-def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """Rows (query_id, chunk_id, score) for ordered seeds (query_id, ord, chunk_id).
-
-    Every walk step to a section adds its weight, 1.5 times for LINKS_TO and MENTIONS, and a seed is
-    set to 1 when its turn ends. So a section that is no seed has the sum over all seeds, and a seed
-    has 1 plus the sum over the seeds after it: a sum without sequential state.
-    """
+def _reach(seeds: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (s, node) of the nodes nearer than ``hops`` to each seed, and (node, neighbour, gain) of all edges."""
     ids = seeds.select(F.concat(F.lit("section:"), "chunk_id").alias("s")).distinct()
     both = incident(edges)
     factor = F.when(F.col("relation_type").isin("LINKS_TO", "MENTIONS"), 1.5).otherwise(1.0)
     # what a node gives its neighbouring sections is summed before any walk meets it
     sums = both.groupBy("node", "neighbour").agg(F.sum(F.col("weight") * factor).alias("gain"))
     links = materialize(sums, "links")
-    given_by = links.filter(F.col("neighbour").startswith("section:"))
     frontier = ids.withColumn("node", F.col("s"))
     visited = frontier
     for _ in range(hops - 1):
         fresh = spread_join(frontier, links.select("node", "neighbour"), "node", "neighbour").select("s", F.col("neighbour").alias("node")).distinct().join(visited, ["s", "node"], "left_anti")
         frontier = materialize(fresh, "frontier")
         visited = visited.unionByName(frontier)
+    return visited, links
+
+
+def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """Rows (query_id, chunk_id, score) for ordered seeds (query_id, ord, chunk_id).
+
+    Every walk step to a section adds its weight, 1.5 times for LINKS_TO and MENTIONS, and a seed is
+    set to 1 when its turn ends. So a section that is no seed has the sum over all seeds, and a seed
+    has 1 plus the sum over the seeds after it: a sum without sequential state.
+    """
+    visited, links = _reach(seeds, edges, hops)
+    given_by = links.filter(F.col("neighbour").startswith("section:"))
     gains = spread_join(visited, given_by, "node", "neighbour").groupBy(F.col("s").alias("seed"), "neighbour").agg(F.sum("gain").alias("gain"))
     own = seeds.select("query_id", "ord", F.concat(F.lit("section:"), "chunk_id").alias("node"))
     given = own.withColumnRenamed("node", "seed").join(gains, "seed").select("query_id", F.col("ord").alias("from"), F.col("neighbour").alias("node"), "gain")
@@ -109,6 +122,94 @@ def graph_search(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame
     return total.select("query_id", F.substring("node", len("section:") + 1, 1_000_000).alias("chunk_id"), "score")
 
 
+def graph_ranked(seeds: DataFrame, edges: DataFrame, hops: int, wanted: DataFrame | None, known: DataFrame, best: int, value: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows (query_id, chunk_id, score, rank, lo, hi) of ``graph_search``, ranked, with the bounds of all scores of the query.
+
+    Of each query these rows are kept: the ``best`` first of all and the ``best`` first of those in ``known``
+    (chunk_id), each with all after them whose ``value`` (of the rank) is as good but for rounding, and
+    those in ``wanted`` (query_id, chunk_id). All sections are scored and ranked, in the task of their query: rows
+    (query, section) are as many as queries times sections near a hub and never leave it. To it go the links of the
+    nodes that the seeds visit, as numbers: 12 bytes for each link to a section.
+    """
+    spark = seeds.sparkSession
+    visited, links = _reach(seeds, edges, hops)
+    visited = materialize(visited, "visited")
+    given = materialize(links.filter(F.col("neighbour").startswith("section:")).join(visited.select("node").distinct(), "node", "left_semi"), "given")
+    own = seeds.select("query_id", "ord", F.concat(F.lit("section:"), "chunk_id").alias("section"))
+    # numbers in the order of the names, which decides ties
+    sections = materialize(numbered(given.select(F.col("neighbour").alias("section")).union(own.select("section")).distinct(), ["section"], "code"), "sections")
+    nodes = materialize(numbered(given.select("node").distinct(), ["node"], "at"), "nodes")
+    there = known.select(F.concat(F.lit("section:"), "chunk_id").alias("section"), F.lit(True).alias("there")).distinct()
+    names = sections.join(there, "section", "left").select("code", F.coalesce("there", F.lit(False)).alias("there")).toArrow()
+    flags = np.zeros(names.num_rows, dtype=bool)
+    flags[names.column("code").to_numpy()] = names.column("there").to_numpy()
+    table = given.join(sections, given["neighbour"] == sections["section"]).join(nodes, "node").select(F.col("at").cast("int").alias("at"), F.col("code").cast("int").alias("code"), "gain").toArrow()
+    at, code = table.column("at").to_numpy(), table.column("code").to_numpy()
+    by = np.lexsort((code, at))
+    gain = table.column("gain").to_numpy(zero_copy_only=False).astype(np.float64)[by]
+    null = table.column("gain").is_null().to_numpy()[by]
+    sent = spark.sparkContext.broadcast((np.searchsorted(at[by], np.arange(nodes.count() + 1)), code[by], np.where(null, 0.0, gain), ~null if null.any() else None, flags))
+    number = lambda rows, kind, n: rows.select("query_id", F.col("ord").cast("int").alias("ord"), F.lit(kind).alias("kind"), F.col(n).cast("int").alias("n"))
+    rows = number(own.join(visited, own["section"] == visited["s"]).join(nodes, "node"), 0, "at").unionByName(number(own.join(sections, "section"), 1, "code"))
+    if wanted is not None:
+        asked = wanted.select("query_id", F.lit(0).alias("ord"), F.concat(F.lit("section:"), "chunk_id").alias("section")).distinct()
+        rows = rows.unionByName(number(asked.join(sections, "section"), 2, "code"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    lists = rows.repartition(tasks, "query_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("kind", "ord", "n"))).alias("r"))
+    lists = lists.select("query_id", *[F.col(f"r.{c}").alias(c) for c in ("kind", "ord", "n")])
+    schema = T.StructType([T.StructField("query_id", seeds.schema["query_id"].dataType), T.StructField("code", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+    ranked = materialize(lists.mapInArrow(_ranker(sent, best, value), schema), "ranked")
+    return ranked.join(sections, "code").select("query_id", F.substring("section", len("section:") + 1, 1_000_000).alias("chunk_id"), "score", "rank", "lo", "hi")
+
+
+def _ranker(sent, best: int, value: Callable[[np.ndarray], np.ndarray]):
+    """Rows (query_id, code, score, rank, lo, hi) of queries (query_id, kind, ord, n); kinds are nodes visited, seeds, codes wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, section, gain, scored, flags = sent.value
+        total, met, fine = np.zeros(len(flags)), np.zeros(len(flags), dtype=bool), np.zeros(len(flags), dtype=bool)
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            sizes = batch.column(1).value_lengths().to_numpy()
+            ends = np.cumsum(sizes)
+            kinds, ords, ns = (batch.column(i).flatten().to_numpy() for i in (1, 2, 3))
+            for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+                kind, ord_, n = kinds[a:b], ords[a:b], ns[a:b]
+                seed = dict(zip(ord_[kind == 1].tolist(), n[kind == 1].tolist()))
+                visits: dict[int, list[int]] = {}
+                for o, v in zip(ord_[kind == 0].tolist(), n[kind == 0].tolist()):
+                    visits.setdefault(o, []).append(v)
+                for o in sorted(seed):
+                    for v in visits.get(o, ()):
+                        own = section[bounds[v] : bounds[v + 1]]  # a node has a section once
+                        total[own] += gain[bounds[v] : bounds[v + 1]]
+                        met[own] = True
+                        if scored is not None:
+                            fine[own] |= scored[bounds[v] : bounds[v + 1]]
+                    total[seed[o]], met[seed[o]], fine[seed[o]] = 1.0, True, True  # its turn ends
+                code = np.flatnonzero(met)
+                score = np.round(total[code], 9)
+                if scored is not None:
+                    score[~fine[code]] = -np.inf  # null: behind all others
+                total[code], met[code], fine[code] = 0, False, False
+                order = np.argsort(-score, kind="stable")
+                code, score = code[order], score[order]
+                worth, there = value(np.arange(len(code))), np.flatnonzero(flags[code])
+                kept = worth >= worth[min(best, len(code)) - 1] - SLACK
+                if len(there):
+                    kept |= flags[code] & (worth >= worth[there[min(best, len(there)) - 1]] - SLACK)
+                kept |= np.isin(code, n[kind == 2])
+                rank, real = np.flatnonzero(kept), score[score > -np.inf]
+                lo, hi = (real.min(), real.max()) if len(real) else (np.nan, np.nan)
+                out.append((np.full(len(rank), i), code[rank], score[rank], rank, np.full(len(rank), lo), np.full(len(rank), hi)))
+            if out:
+                i, code, score, rank, lo, hi = map(np.concatenate, zip(*out))
+                columns = [batch.column(0).take(pa.array(i)), pa.array(code), pa.array(score, mask=score == -np.inf), pa.array(rank.astype(np.int32)), pa.array(lo, mask=np.isnan(lo)), pa.array(hi, mask=np.isnan(hi))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "code", "score", "rank", "lo", "hi"])
+
+    return run
+
+
 def distinct_seeds(lists: DataFrame, query: str, item: str, k: int) -> DataFrame:
     """Rows (query, ord, item): items of concatenated lists (query, list_idx, rank, item), first places kept, k at most."""
     first = lists.groupBy(query, item).agg(F.min(F.struct("list_idx", "rank")).alias("at"))

@@ -111,8 +111,18 @@ def search(
         for s in sources[1:]:
             flat = flat.unionByName(s.select("query_id", "list_idx", "rank", "chunk_id"))
         seeds = materialize(graph.distinct_seeds(flat, "query_id", "chunk_id", k), "seeds")
-        scored = fusion.ranks(graph.graph_search(seeds, store.read("edges"), settings.graph_max_hops), ["query_id"], "score", "chunk_id")
-        lists.append(materialize(_list(scored, "graph", len(lists)), "list"))
+        # of the list only what the best k of the fusion can depend on: others rank behind ``best`` rows that no other list has
+        others = 2 * k * len(lists)
+        wanted = None
+        for one in lists:
+            own = one.select("query_id", "chunk_id")
+            wanted = own if wanted is None else wanted.unionByName(own)
+        weight, after = settings.graph_rrf_weight, settings.fusion_k + 1
+        best = k + settings.rerank_pool_size + others
+        ranked = graph.graph_ranked(seeds, store.read("edges"), settings.graph_max_hops, wanted, chunks, best, lambda rank: weight / (after + rank))
+        spread = F.col("hi") - F.col("lo")
+        normalized = F.when(spread == 0, 1.0).otherwise((F.col("score") - F.col("lo")) / F.nullif(spread, F.lit(0.0)))
+        lists.append(materialize(ranked.select("query_id", "chunk_id", F.lit(len(lists)).alias("list_idx"), F.lit("graph").alias("engine"), "rank", normalized.alias("normalized")), "list"))
     ranked = lists[0]
     for one in lists[1:]:
         ranked = ranked.unionByName(one)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from notelattice.operators import bm25
+from notelattice.operators import bm25, fusion, graph
 
 
 def shuffled(spark, action):
@@ -54,3 +54,27 @@ def test_bm25_index_keeps_a_row_for_each_chunk(spark):
     assert sorted(map(tuple, index.postings.collect())) == [("wax", "a", 2), ("yew", "a", 1)]
     assert sorted(map(tuple, index.lengths.collect())) == [("a", 3), ("b", 0), ("c", 0)]
     assert index.packed.select(F.size("terms").alias("n")).agg(F.sum("n")).first()[0] == 2
+
+
+@pytest.mark.parametrize("hops", [1, 2])
+def test_graph_search_hands_on_only_what_counts(spark, hops):
+    r = random.Random(2)
+    edges = [(f"section:c{i:03}", f"tag:t{i % 2}", "HAS_TAG", None if i % 7 == 0 else r.choice([0.5, 1.0])) for i in range(200)]
+    edges += [(f"section:c{i:03}", f"section:c{(i * 3 + 1) % 200:03}", "LINKS_TO", 1.0) for i in range(50)]
+    edges = spark.createDataFrame(edges, "source_id string, target_id string, relation_type string, weight double")
+    seeds = spark.createDataFrame([(q, o, f"c{(q * 5 + o * 11) % 210:03}") for q in range(20) for o in range(3)], "query_id int, ord int, chunk_id string")
+    known = spark.createDataFrame([(f"c{i:03}",) for i in range(100, 150)], "chunk_id string")
+    wanted = spark.createDataFrame([(1, "c007"), (2, "c199"), (3, "none")], "query_id int, chunk_id string")
+    every = {}
+    for x in fusion.ranks(graph.graph_search(seeds, edges, hops), ["query_id"], "score", "chunk_id").collect():
+        every.setdefault(x.query_id, []).append((x["rank"], x.chunk_id, x.score))
+    found, rows = shuffled(spark, lambda: graph.graph_ranked(seeds, edges, hops, wanted, known, 4, lambda rank: 1.5 / (61 + rank)).collect())
+    assert rows < 3_000
+    got = {(x.query_id, x["rank"], x.chunk_id): (x.score, x.lo, x.hi) for x in found}
+    want = {}
+    for q, own in every.items():
+        scores = [s for _, _, s in own if s is not None]
+        there = [x for x in sorted(own) if "c100" <= x[1] < "c150"][:4]
+        also = [x for x in own if (q, x[1]) in {(1, "c007"), (2, "c199")}]
+        want |= {(q, at, c): (s, min(scores), max(scores)) for at, c, s in [*sorted(own)[:4], *there, *also]}
+    assert got == want
