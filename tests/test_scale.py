@@ -5,7 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from notelattice import schemas
+from notelattice.config import Settings
 from notelattice.operators import bm25, fusion, graph
+from notelattice.plans.searching import search
+from notelattice.session import scratch_path
+from notelattice.sources.index_store import IndexStore
 
 
 def shuffled(spark, action):
@@ -78,3 +83,15 @@ def test_graph_search_hands_on_only_what_counts(spark, hops):
         also = [x for x in own if (q, x[1]) in {(1, "c007"), (2, "c199")}]
         want |= {(q, at, c): (s, min(scores), max(scores)) for at, c, s in [*sorted(own)[:4], *there, *also]}
     assert got == want
+
+
+def test_search_of_an_index_with_postings_by_term(spark, monkeypatch):
+    store = IndexStore(spark, scratch_path(spark, "ix"), Settings(embedding_dim=8))
+    store.replace("chunks", spark.createDataFrame([(f"c{i}", "/a.md", ["H"], 1, "wax " * (i + 1), i, 0) for i in range(3)], schemas.CHUNKS))
+    with monkeypatch.context() as m:
+        m.setitem(schemas.TABLES, "postings", "term string, chunk_id string, tf bigint")
+        store.replace("postings", spark.createDataFrame([("wax", "c0", 1)], schemas.TABLES["postings"]))
+        store.replace("idf", spark.createDataFrame([("wax", 1, 1.0)], schemas.IDF))
+    assert not store.readable("postings")
+    q = spark.createDataFrame([(1, "wax")], "query_id int, query string")
+    assert search(store, q, mode="bm25").count() == 3 and store.readable("postings")
