@@ -165,42 +165,60 @@ def graph_ranked(seeds: DataFrame, edges: DataFrame, hops: int, wanted: DataFram
 def _ranker(sent, best: int, value: Callable[[np.ndarray], np.ndarray]):
     """Rows (query_id, code, score, rank, lo, hi) of queries (query_id, kind, ord, n); kinds are nodes visited, seeds, codes wanted."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranking(ord_: np.ndarray, n: np.ndarray, visited: np.ndarray, total: np.ndarray, met: np.ndarray, fine: np.ndarray) -> tuple:
+        """(codes in order, rank of each, codes and scores by rank, ranks kept, lo, hi) of seeds and the nodes they visit."""
         bounds, section, gain, scored, flags = sent.value
-        total, met, fine = np.zeros(len(flags)), np.zeros(len(flags), dtype=bool), np.zeros(len(flags), dtype=bool)
+        seed = dict(zip(ord_[~visited].tolist(), n[~visited].tolist()))
+        visits: dict[int, list[int]] = {}
+        for o, v in zip(ord_[visited].tolist(), n[visited].tolist()):
+            visits.setdefault(o, []).append(v)
+        for o in sorted(seed):
+            for v in visits.get(o, ()):
+                own = section[bounds[v] : bounds[v + 1]]  # a node has a section once
+                total[own] += gain[bounds[v] : bounds[v + 1]]
+                met[own] = True
+                if scored is not None:
+                    fine[own] |= scored[bounds[v] : bounds[v + 1]]
+            total[seed[o]], met[seed[o]], fine[seed[o]] = 1.0, True, True  # its turn ends
+        every = np.flatnonzero(met)
+        score = np.round(total[every], 9)
+        if scored is not None:
+            score[~fine[every]] = -np.inf  # null: behind all others
+        total[every], met[every], fine[every] = 0, False, False
+        order = np.argsort(-score, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        code, score = every[order], score[order]
+        worth, there = value(np.arange(len(code))), np.flatnonzero(flags[code])
+        kept = worth >= worth[min(best, len(code)) - 1] - SLACK
+        if len(there):
+            kept |= flags[code] & (worth >= worth[there[min(best, len(there)) - 1]] - SLACK)
+        real = score[score > -np.inf]
+        lo, hi = (real.min(), real.max()) if len(real) else (np.nan, np.nan)
+        return every, place, code, score, np.flatnonzero(kept), lo, hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(sent.value[4])
+        total, met, fine = np.zeros(size), np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             sizes = batch.column(1).value_lengths().to_numpy()
             ends = np.cumsum(sizes)
             kinds, ords, ns = (batch.column(i).flatten().to_numpy() for i in (1, 2, 3))
-            for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
-                kind, ord_, n = kinds[a:b], ords[a:b], ns[a:b]
-                seed = dict(zip(ord_[kind == 1].tolist(), n[kind == 1].tolist()))
-                visits: dict[int, list[int]] = {}
-                for o, v in zip(ord_[kind == 0].tolist(), n[kind == 0].tolist()):
-                    visits.setdefault(o, []).append(v)
-                for o in sorted(seed):
-                    for v in visits.get(o, ()):
-                        own = section[bounds[v] : bounds[v + 1]]  # a node has a section once
-                        total[own] += gain[bounds[v] : bounds[v + 1]]
-                        met[own] = True
-                        if scored is not None:
-                            fine[own] |= scored[bounds[v] : bounds[v + 1]]
-                    total[seed[o]], met[seed[o]], fine[seed[o]] = 1.0, True, True  # its turn ends
-                code = np.flatnonzero(met)
-                score = np.round(total[code], 9)
-                if scored is not None:
-                    score[~fine[code]] = -np.inf  # null: behind all others
-                total[code], met[code], fine[code] = 0, False, False
-                order = np.argsort(-score, kind="stable")
-                code, score = code[order], score[order]
-                worth, there = value(np.arange(len(code))), np.flatnonzero(flags[code])
-                kept = worth >= worth[min(best, len(code)) - 1] - SLACK
-                if len(there):
-                    kept |= flags[code] & (worth >= worth[there[min(best, len(there)) - 1]] - SLACK)
-                kept |= np.isin(code, n[kind == 2])
-                rank, real = np.flatnonzero(kept), score[score > -np.inf]
-                lo, hi = (real.min(), real.max()) if len(real) else (np.nan, np.nan)
+            # wanted codes come last; queries of equal seeds share a ranking
+            middles = (ends - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kinds == 2], minlength=len(sizes))).tolist()
+            begins, ends = (ends - sizes).tolist(), ends.tolist()
+            keys = [b"".join(x[a:m].tobytes() for x in (kinds, ords, ns)) for a, m in zip(begins, middles)]
+            last = None
+            for i in sorted(range(len(keys)), key=keys.__getitem__):
+                a, m = begins[i], middles[i]
+                if keys[i] != last:
+                    every, place, code, score, kept, lo, hi = ranking(ords[a:m], ns[a:m], kinds[a:m] == 0, total, met, fine)
+                    last = keys[i]
+                asked = ns[m : ends[i]]
+                at = np.searchsorted(every, asked)
+                at = at[every[np.minimum(at, len(every) - 1)] == asked]
+                rank = np.union1d(kept, place[at])
                 out.append((np.full(len(rank), i), code[rank], score[rank], rank, np.full(len(rank), lo), np.full(len(rank), hi)))
             if out:
                 i, code, score, rank, lo, hi = map(np.concatenate, zip(*out))

@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 
 from notelattice.session import materialize
 
-#: Numbers in a slice of the query matrix that is broadcast (64 MB), and rows of the table multiplied at once.
-SLICE, BLOCK = 8_000_000, 2_048
+#: Numbers in a slice of the query matrix that is broadcast (64 MB), rows of the table and numbers of a product at once.
+SLICE, BLOCK, PRODUCT = 8_000_000, 2_048, 4_000_000
+#: More than rounding to nine digits moves a cosine, candidates between two cuts, and rows that a task hands on at once.
+SLACK, CANDIDATES, ROWS = 1e-8, 1_000_000, 100_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -35,10 +37,31 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _best(s: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(names, similarities) of the k best columns of each row, ties by name; names are sorted."""
-    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    return names[order], np.take_along_axis(s, order, axis=1)
+def _near(s: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all cosines that may be among the k best of their row, ties by column. Raises ``floor`` where k better ones are seen."""
+    near = s > floor[:, None] - SLACK
+    crowded = np.flatnonzero(near.sum(axis=1) > 4 * k)
+    if len(crowded):
+        value = np.round(s[crowded], 9)
+        best = np.argsort(-value, axis=1, kind="stable")[:, :k]
+        near[crowded] = False
+        near[crowded[:, None], best] = True
+        floor[crowded] = np.maximum(floor[crowded], np.take_along_axis(value, best[:, -1:], axis=1)[:, 0])
+    return np.nonzero(near)
+
+
+def _cut(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], names: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray]:
+    """Of candidates (row, number of the name, cosine) the k best of each row in order, ties by name; their names; the places of the k-th."""
+    row, at, value = map(np.concatenate, zip(*held))
+    used, at = np.unique(at, return_inverse=True)
+    names = [names[i] for i in used.tolist()]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.empty(len(names), dtype=np.int64)
+    place[order] = np.arange(len(names))
+    by = np.lexsort((place[at], -value, row))
+    nth = np.arange(len(row)) - np.searchsorted(row[by], row[by])
+    by, nth = by[nth < k], nth[nth < k]
+    return row[by], place[at[by]], value[by], [names[i] for i in order], np.flatnonzero(nth == k - 1)
 
 
 def nearest(queries: DataFrame, query_id: str, query_vector: str, rows: DataFrame, key: str, vector: str, k: int, dim: int, floor: float | None = None, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
@@ -47,40 +70,55 @@ def nearest(queries: DataFrame, query_id: str, query_vector: str, rows: DataFram
     Cosines are rounded to 9 digits. With a floor only cosines of at least so much count. Null keys and vectors are left out.
     """
     spark = rows.sparkSession
-    asked = materialize(queries.filter(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("e")), "queries")
-    table = rows.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("e"))
-    schema = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("k", rows.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
-    slices = max(1, -(-asked.count() * dim // slice_))
+    asked = queries.filter(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("e"))
+    # queries of equal vector have equal neighbours: each vector is sought once
+    distinct = materialize(asked.groupBy("e").agg(F.collect_set("q").alias("qs")).withColumn("v", F.monotonically_increasing_id()), "queries")
+    # each task hands on the best of each query, so there are no more tasks than run at once
+    table = rows.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("e")).coalesce(spark.sparkContext.defaultParallelism)
+    schema = T.StructType([T.StructField("v", T.LongType()), T.StructField("k", rows.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
+    slices = max(1, -(-distinct.count() * dim // slice_))
 
     def product(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            names, cosine, kind = None, np.zeros((len(q), 0)), None
+            kind, names, held, fresh, least, step = None, [], [], 0, np.full(len(q), -np.inf), max(1, PRODUCT // block)
+
+            def cut() -> None:
+                nonlocal names, held, fresh
+                row, at, value, names, last = _cut(held, names, k)
+                least[row[last]] = np.maximum(least[row[last]], value[last])
+                held, fresh = [(row, at, value)], 0
+
             for batch in batches:
                 kind = batch.schema.field(0).type
-                for at in range(0, batch.num_rows, block):
-                    part = batch.slice(at, block)
-                    own = np.array(part.column(0).to_pylist(), dtype=object)
-                    s = np.round(q @ _matrix(part.column(1), dim).T, 9)
-                    # best of the block joined to the best so far, each query's own names in order
-                    order = np.argsort(own, kind="stable")
-                    near, value = _best(s[:, order], own[order], k)
-                    if names is not None:
-                        near, value = np.concatenate([names, near], axis=1), np.concatenate([cosine, value], axis=1)
-                        i = np.argsort(near, axis=1, kind="stable")
-                        near, value = np.take_along_axis(near, i, axis=1), np.take_along_axis(value, i, axis=1)
-                        i = np.argsort(-value, axis=1, kind="stable")[:, :k]
-                        near, value = np.take_along_axis(near, i, axis=1), np.take_along_axis(value, i, axis=1)
-                    names, cosine = near, value
-            if names is not None:
-                asked_by = np.repeat(np.arange(len(q)), names.shape[1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked_by)), pa.array(names.ravel().tolist(), kind), pa.array(cosine.ravel())], names=["q", "k", "cosine"])
+                for begin in range(0, batch.num_rows, block):
+                    part = batch.slice(begin, block)
+                    own = part.column(0).to_pylist()
+                    order = sorted(range(len(own)), key=own.__getitem__)
+                    x, before = _matrix(part.column(1), dim)[order].T, len(names)
+                    names += [own[i] for i in order]
+                    for a in range(0, len(q), step):
+                        s = q[a : a + step] @ x
+                        row, column = _near(s, least[a : a + step], k)
+                        held.append((row + a, column + before, np.round(s[row, column], 9)))
+                        fresh += len(row)
+                        if fresh >= CANDIDATES:
+                            cut()
+                            names, before = names + [own[i] for i in order], len(names)
+                    if len(names) >= CANDIDATES:
+                        cut()
+            if held:
+                cut()
+                row, at, value = held[0]
+                for a in range(0, len(row), ROWS):
+                    found = [names[i] for i in at[a : a + ROWS].tolist()]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[a : a + ROWS])), pa.array(found, kind), pa.array(value[a : a + ROWS])], names=["v", "k", "cosine"])
 
         return table.mapInArrow(run, schema)
 
     found = None
     for i in range(slices):
-        own = (asked if slices == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(slices)) == i)).toArrow()  # at most about ``slice_`` numbers
+        own = (distinct if slices == 1 else distinct.filter(F.pmod(F.xxhash64("v"), F.lit(slices)) == i)).select("v", "e").toArrow()  # at most about ``slice_`` numbers
         if own.num_rows:
             sent = spark.sparkContext.broadcast((own.column(0).combine_chunks(), _matrix(own.column(1).combine_chunks(), dim)))
             part = product(sent) if slices == 1 else materialize(product(sent), "near")
@@ -89,8 +127,9 @@ def nearest(queries: DataFrame, query_id: str, query_vector: str, rows: DataFram
         found = spark.createDataFrame([], schema)
     if floor is not None:
         found = found.filter(F.col("cosine") >= floor)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "k")) - 1).filter(F.col("rank") < k)
-    return ranked.select(F.col("q").alias(query_id), F.col("k").alias(key), "cosine", "rank")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("cosine"), "k")) - 1).filter(F.col("rank") < k)
+    named = ranked.join(distinct.select("v", F.explode("qs").alias("q")), "v")
+    return named.select(F.col("q").alias(query_id), F.col("k").alias(key), "cosine", "rank")
 
 
 def store_search(queries: DataFrame, query_id: str, query_vector: str, rows: DataFrame, key: str, vector: str, top_k: int, dim: int, floor: float = 0.4) -> DataFrame:

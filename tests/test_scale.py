@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from notelattice import schemas
 from notelattice.config import Settings
-from notelattice.operators import bm25, fusion, graph
+from notelattice.operators import bm25, fusion, graph, knn
 from notelattice.plans.searching import search
 from notelattice.session import scratch_path
 from notelattice.sources.index_store import IndexStore
@@ -85,6 +87,25 @@ def test_graph_search_hands_on_only_what_counts(spark, hops):
     assert got == want
 
 
+def test_queries_of_equal_seeds_share_a_ranking():
+    class Sent:  # two nodes that visit four and two of eight sections
+        value = (np.array([0, 4, 6]), np.array([0, 2, 4, 6, 1, 2]), np.ones(6), None, np.ones(8, dtype=bool))
+
+    made = []
+
+    def value(rank):
+        made.append(len(rank))
+        return 1.0 / (61 + rank)
+
+    # rows (kind, ord, n): nodes visited, seeds, codes wanted
+    lists = [[(0, 0, 0), (1, 0, 2), (2, 0, 6)], [(0, 0, 1), (1, 0, 2)], [(0, 0, 0), (1, 0, 2), (2, 0, 0), (2, 0, 5)]]
+    columns = [pa.array([[x[i] for x in own] for own in lists], pa.list_(pa.int32())) for i in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), *columns], names=["query_id", "kind", "ord", "n"])
+    rows = [tuple(x.values()) for x in next(graph._ranker(Sent, 1, value)(iter([batch]))).to_pylist()]
+    assert sorted(rows) == [(7, 0, 1.0, 0, 1.0, 1.0), (7, 6, 1.0, 3, 1.0, 1.0), (8, 1, 1.0, 0, 1.0, 1.0), (9, 0, 1.0, 0, 1.0, 1.0)]
+    assert sorted(made) == [2, 4]
+
+
 def test_search_of_an_index_with_postings_by_term(spark, monkeypatch):
     store = IndexStore(spark, scratch_path(spark, "ix"), Settings(embedding_dim=8))
     store.replace("chunks", spark.createDataFrame([(f"c{i}", "/a.md", ["H"], 1, "wax " * (i + 1), i, 0) for i in range(3)], schemas.CHUNKS))
@@ -95,3 +116,26 @@ def test_search_of_an_index_with_postings_by_term(spark, monkeypatch):
     assert not store.readable("postings")
     q = spark.createDataFrame([(1, "wax")], "query_id int, query string")
     assert search(store, q, mode="bm25").count() == 3 and store.readable("postings")
+
+
+@pytest.mark.parametrize("block", [knn.BLOCK, 50])
+def test_nearest_hands_on_only_the_best_of_each_vector(spark, monkeypatch, block):
+    monkeypatch.setattr(knn, "CANDIDATES", 300)
+    monkeypatch.setattr(knn, "PRODUCT", 7 * block)
+    r = random.Random(3)
+    # few directions, so that most places are ties
+    table = [(f"c{i:04}", r.choice([[1.0, 0.0, 0.5], [0.5, 1.0, 0.0], [0.0, 0.5, 1.0], [r.random(), r.random(), 0.1]])) for i in range(1200)]
+    vectors = [[r.random() - 0.3, r.random() - 0.3, r.random()] for _ in range(20)] + [[1.0, 0.0, 0.5], [0.0, 0.0, 0.0]]
+    asked = [(i, vectors[i % 22]) for i in range(220)]
+    rows = spark.createDataFrame(table, "k string, e array<float>").repartition(16)
+    queries = spark.createDataFrame(asked, "q bigint, v array<double>")
+    found, sent = shuffled(spark, lambda: knn.nearest(queries, "q", "v", rows, "k", "e", 5, 3, block=block).collect())
+    assert sent < 3_000  # of 17,600 that 16 tasks would hand on for 220 queries
+    e = np.array([v for _, v in table], dtype=np.float32).astype(np.float64)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    want = {}
+    for q, v in asked:
+        s = np.round(e @ (np.array(v) / (np.linalg.norm(v) or 1)), 9)
+        want |= {(q, k): (i, -c) for i, (c, k) in enumerate(sorted(zip((-s).tolist(), [k for k, _ in table]))[:5])}
+    assert {(x.q, x.k): x["rank"] for x in found} == {k: i for k, (i, _) in want.items()} and len(found) == 1100
+    assert all(x.cosine == pytest.approx(want[x.q, x.k][1], abs=2e-9) for x in found)
